@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The usual 127 English stop words of full-text search.
 STOP_WORDS = (
@@ -128,7 +129,7 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stem_all(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoweave.functions import scalars as sc
 from chronoweave.functions.stemming import search_tokens
@@ -64,7 +65,7 @@ def _bucket(feature: str) -> tuple[int, float]:
 def hash_embed(tokens: Column, dims: int) -> Column:
     """Signed feature hashing of words and word pairs into ``dims`` numbers of unit length."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(words: pd.Series) -> pd.Series:
         out = []
         for row in words:

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoweave.operators.ordered import keep_top
 
@@ -133,7 +134,7 @@ def ivf_fit(rows: DataFrame, lists: int, *, per_list: int = 256, seed: int = 7,
 
 
 def _ranked_lists(vectors: Column, centroids, probes: int) -> Column:
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def choose(v: pd.Series) -> pd.Series:
         distance = 1.0 - _unit(v) @ centroids.value.T
         order = np.argsort(distance, axis=1, kind="stable")[:, :probes]

@@ -144,7 +144,7 @@ def eligible_pair(v: str = "", q: str = "q_") -> Column:
 
 def _eligible_block(rows: pd.DataFrame, asked: pd.DataFrame) -> np.ndarray:
     """The same hard filters for a block of rows against a block of questions."""
-    far = np.iinfo(np.int64).max
+    far = 2**62  # later than any instant, and exact as a float
 
     def us(series, empty):
         return series.fillna(empty).to_numpy(dtype=np.int64)[:, None]

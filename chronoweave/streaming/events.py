@@ -136,17 +136,29 @@ def envelopes(events: DataFrame, *, source: str = SOURCE, prefix: str = PREFIX)
 # --- decoding ------------------------------------------------------------------------------------
 
 
-def _ok(value: Column, kind: str, nullable: bool) -> Column:
-    checks = {
-        "uuid": value.rlike(UUID_PATTERN),
-        "time": value.rlike(AWARE_PATTERN) & value.try_cast("timestamp").isNotNull(),
-        "int": value.try_cast("long").isNotNull(),
-        "bool": F.lower(value).isin("true", "false"),
-        "scope": value.isin(*PRIVACY_ORDER),
-        "text": value.isNotNull(),
-    }
-    ok = F.coalesce(checks[kind], F.lit(False))
-    return (value.isNull() | ok) if nullable else ok
+def _fits(value: Column, kind: Column) -> Column:
+    """Is the text a value of the given kind? Null is no value."""
+    return F.coalesce(
+        F.when(kind == "uuid", value.rlike(UUID_PATTERN))
+        .when(kind == "time", value.rlike(AWARE_PATTERN) & value.try_cast("timestamp").isNotNull())
+        .when(kind == "int", value.try_cast("long").isNotNull())
+        .when(kind == "bool", F.lower(value).isin("true", "false"))
+        .when(kind == "scope", value.isin(*PRIVACY_ORDER))
+        .otherwise(value.isNotNull()),
+        F.lit(False),
+    )
+
+
+def _payload_rules() -> Column:
+    """A constant map: event type -> its fields with kind and whether null is allowed."""
+    pairs = []
+    for event_type in EVENT_FIELDS:
+        fields = [
+            F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(o).alias("nullable"))
+            for n, k, o in _fields(event_type)
+        ]
+        pairs += [F.lit(event_type), F.array(*fields)]
+    return F.create_map(*pairs)
 
 
 def decode(messages: DataFrame, *, source: str = SOURCE) -> DataFrame:
@@ -154,29 +166,31 @@ def decode(messages: DataFrame, *, source: str = SOURCE) -> DataFrame:
 
     Unknown payload fields are ignored, unknown envelope fields are not. Split on ``problem``.
     """
-    keys = F.json_object_keys("value")
+    # The parse sits under a generator, which filters on its results cannot be pushed through: each
+    # message is parsed once, not once per check.
     e = F.from_json("value", "map<string,string>")
-    data = F.from_json(e["data"], "map<string,string>")
-    parsed = messages.withColumn("__keys", keys).withColumn("__e", e).withColumn("__d", data)
+    once = F.struct(
+        F.json_object_keys("value").alias("__keys"), e.alias("__e"), F.from_json(e["data"], "map<string,string>").alias("__d")
+    )
+    parsed = messages.select("*", F.inline(F.array(once)))
     env = lambda k: F.col("__e")[k]
+    kinds = {"id": "uuid", "organization_id": "uuid", "subject": "uuid", "time": "time"}
     shape = (
         (F.size(F.array_except("__keys", F.array(*[F.lit(k) for k in ENVELOPE_KEYS]))) == 0)
         & (F.coalesce(env("specversion"), F.lit("1.0")) == "1.0")
         & (F.coalesce(env("source"), F.lit(source)) == source)
-        & _ok(F.coalesce(env("schema_version"), F.lit("1")), "int", False)
-        & _ok(env("id"), "uuid", False)
-        & _ok(env("organization_id"), "uuid", False)
-        & _ok(env("subject"), "uuid", False)
-        & _ok(env("time"), "time", False)
+        & F.coalesce(env("schema_version"), F.lit("1")).try_cast("long").isNotNull()
+        & F.forall(
+            F.array(*[F.struct(env(n).alias("value"), F.lit(k).alias("kind")) for n, k in kinds.items()]),
+            lambda f: _fits(f["value"], f["kind"]),
+        )
         & F.col("__d").isNotNull()
     )
-    payload = F.lit(False)
-    for event_type in EVENT_FIELDS:
-        checks = F.lit(True)
-        for name, kind, nullable in _fields(event_type):
-            present = F.map_contains_key("__d", name)
-            checks = checks & F.coalesce(present, F.lit(False)) & _ok(F.col("__d")[name], kind, nullable)
-        payload = F.when(env("type") == event_type, checks).otherwise(payload)
+    payload = F.forall(
+        _payload_rules()[env("type")],
+        lambda f: F.map_contains_key("__d", f["name"])
+        & ((f["nullable"] & F.col("__d")[f["name"]].isNull()) | _fits(F.col("__d")[f["name"]], f["kind"])),
+    )
     problem = (
         F.when(F.col("__keys").isNull(), "undecodable: not a JSON object")
         .when(~F.coalesce(shape, F.lit(False)), "undecodable: envelope")

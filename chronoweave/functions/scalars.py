@@ -26,13 +26,17 @@ EXCERPT_MAX = 8000
 RATIONALE_MAX = 4000
 REASON_MAX = 2000
 
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# Fixed value: the characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(c, _EDGES, "")
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def collapse(c: Column) -> Column:

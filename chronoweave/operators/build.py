@@ -21,6 +21,7 @@ from chronoweave.operators.ordered import (
     HOT_ROWS,
     chunked_scan,
     first_per_key,
+    hot_keys,
     number_and_time,
     time_chunk,
     with_neighbours,
@@ -50,6 +51,7 @@ def assign_recorded_at(
     chunk: Column | None = None,
     floor_us: Column | None = None,
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Number each fact's accepted claims and give them their transaction time ``recorded_at``."""
     return number_and_time(
@@ -62,6 +64,7 @@ def assign_recorded_at(
         out="recorded_at",
         floor_us=floor_us,
         hot_rows=hot_rows,
+        hot=hot,
     )
 
 
@@ -222,6 +225,7 @@ def build_versions(
     start = F.unix_micros("valid_from")
     own = F.coalesce(F.unix_micros("valid_until"), start + 1)
     fixed = F.col("valid_until").isNotNull() | F.col("__hend").isNotNull()
+    hot = hot_keys(usable, FACT, hot_rows)
     seen = chunked_scan(
         usable.withColumn("__s", start).withColumn("__e", own),
         FACT,
@@ -230,7 +234,7 @@ def build_versions(
         number="__n",
         max_before={"__before": F.col("__e")},
         key_max={"__fixed": fixed},
-        hot_rows=hot_rows,
+        hot=hot,
     )
     # Without fixed ends a refused claim never reaches past the accepted ones, so the running
     # maximum over all claims is the threshold. Facts with fixed ends take the sequential rule.
@@ -257,7 +261,7 @@ def build_versions(
         number="__i",
         chunk=F.floor((F.col("__n") - 1) / F.lit(CHUNK_ROWS)),
         floor_us=F.col("__hrec"),
-        hot_rows=hot_rows,
+        hot=hot,
     )
     linked = with_neighbours(
         timed,
@@ -403,25 +407,22 @@ def capture_evidence(requests: DataFrame, existing: DataFrame | None = None) ->
     the rejected requests. Only ids and hashes travel for the duplicate search; the excerpt of a
     winner is picked up afterwards.
     """
-    r = requests.withColumn("excerpt", sc.normalize_excerpt(F.col("excerpt"))).withColumn(
-        "uri", sc.normalize_uri(F.col("uri"))
+    # The normalised text sits under a generator: filters on it are not pushed through and repeated.
+    excerpt = sc.normalize_excerpt(F.col("excerpt"))
+    rest = [c for c in requests.columns if c not in ("excerpt", "uri")]
+    r = requests.select(
+        *rest, sc.normalize_uri(F.col("uri")).alias("uri"),
+        F.inline(F.array(F.struct(excerpt.alias("excerpt"), sc.content_hash(excerpt).alias("content_sha256")))),
     )
-    reason = (
-        F.coalesce(
-            sc.excerpt_problem(F.col("excerpt")),
-            F.when(~sc.uri_ok(F.col("uri")), "bad_uri"),
-            F.when(~sc.metadata_ok(F.col("metadata")), "bad_metadata"),
-        )
+    reason = F.coalesce(
+        sc.excerpt_problem(F.col("excerpt")),
+        F.when(~sc.uri_ok(F.col("uri")), "bad_uri"),
+        F.when(~sc.metadata_ok(F.col("metadata")), "bad_metadata"),
     )
     r = r.withColumn("reason", reason)
-    ok = (
-        r.where(F.col("reason").isNull())
-        .drop("reason")
-        .withColumn("content_sha256", sc.content_hash(F.col("excerpt")))
-        .withColumn("metadata", F.coalesce("metadata", F.lit("{}")))
-    )
+    ok = r.where(F.col("reason").isNull()).drop("reason").withColumn("metadata", F.coalesce("metadata", F.lit("{}")))
     key = ["organization_id", "source_id", "content_sha256"]
-    slim = ok.select(*key, "id", "captured_at")
+    slim = cut_lineage(ok.select(*key, "id", "captured_at"))  # the texts are read once for their hashes
     winners = slim.groupBy(*key).agg(F.min(F.struct("captured_at", "id")).alias("__w")).select(
         *key, F.col("__w.id").alias("__winner")
     )

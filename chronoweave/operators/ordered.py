@@ -25,16 +25,21 @@ def time_chunk(ts: Column, seconds: int = 3600) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], chunk: Column, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with more than ``hot_rows`` rows. Pass the result to several scans of the same rows:
+    Spark then computes and broadcasts it once."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return counts.where(F.col("__rows") > hot_rows).select(*keys, F.lit(True).alias(_HOT))
+
+
+def split_hot(
+    df: DataFrame, keys: Sequence[str], chunk: Column, hot_rows: int, hot: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
     """Add ``__chunk`` (0 for cold keys); also return the hot keys."""
     if not keys:
-        return df.withColumn(_CHUNK, chunk.cast("long")), df.sparkSession.createDataFrame([], "x int")
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > hot_rows)
-        .select(*keys, F.lit(True).alias(_HOT))
-    )
+        return df.withColumn(_CHUNK, chunk.cast("long")), None
+    if hot is None:
+        hot = hot_keys(df, keys, hot_rows)
     marked = df.join(F.broadcast(hot), list(keys), "left").withColumn(
         _CHUNK, F.when(F.col(_HOT), chunk.cast("long")).otherwise(F.lit(0).cast("long"))
     )
@@ -53,6 +58,7 @@ def chunked_scan(
     running_sum: Mapping[str, Column] | None = None,
     key_max: Mapping[str, Column] | None = None,
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Row number, running maxima and running sums per key in the given order.
 
@@ -66,7 +72,7 @@ def chunked_scan(
     maxima = {**(running_max or {}), **before_max, **whole}
     sums = dict(running_sum or {})
     keys = list(keys)
-    marked, hot = split_hot(df, keys, chunk, hot_rows)
+    marked, hot = split_hot(df, keys, chunk, hot_rows, hot)
     local = W.partitionBy(*keys, _CHUNK).orderBy(*order)
     upto = local.rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = marked
@@ -83,7 +89,7 @@ def chunked_scan(
         rows = rows.withColumn(f"__sum_{name}", F.sum(expr).over(upto))
 
     # One summary row per chunk of a hot key; what came before the chunk is carried into it.
-    hot_input = df.join(F.broadcast(hot), keys, "left_semi") if keys else df
+    hot_input = df if hot is None else df.join(F.broadcast(hot), keys, "left_semi")
     totals = [F.count(F.lit(1)).alias("__c")]
     totals += [F.max(e).alias(f"__tmax_{n}") for n, e in maxima.items()]
     totals += [F.sum(e).alias(f"__tsum_{n}") for n, e in sums.items()]
@@ -127,6 +133,7 @@ def number_and_time(
     out: str,
     floor_us: Column | None = None,
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each key and give each a strictly increasing time, in one scan.
 
@@ -135,7 +142,7 @@ def number_and_time(
     """
     keys = list(keys)
     at = F.unix_micros(arrival)
-    marked, hot = split_hot(df, keys, chunk, hot_rows)
+    marked, hot = split_hot(df, keys, chunk, hot_rows, hot)
     local = W.partitionBy(*keys, _CHUNK).orderBy(*order)
     upto = local.rowsBetween(W.unboundedPreceding, W.currentRow)
 
@@ -201,6 +208,7 @@ def asof_rank(
     *,
     chunk_seconds: int = 3600,
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """For each probe the highest ``position`` of its key with ``version_time`` <= ``probe_time``.
 
@@ -229,6 +237,7 @@ def asof_rank(
         [F.col("__t").asc_nulls_first(), F.col("__kind")],
         running_max={"__rank": F.col("__pos")},
         hot_rows=hot_rows,
+        hot=hot,
     )
     rank = F.when(F.col("__t").isNotNull(), F.coalesce("__rank", F.lit(0).cast("long")))
     return scanned.where("__kind = 1").select("__probe.*", rank.alias(out))

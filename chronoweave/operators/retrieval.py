@@ -27,6 +27,10 @@ RRF_K = 60
 TRUST_WEIGHT = 0.3
 TEXT_UNIT = 0.1
 
+# Question terms are rows of a few hundred bytes: this many stay well below 100 MB.
+BROADCAST_TERMS = 200_000
+TOKEN_SALTS = 32
+
 # Columns a table of questions may leave out, with their types and defaults.
 OPTIONAL = {
     "limit": ("int", 10),
@@ -178,11 +182,14 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.withColumn("token", F.explode(F.array_distinct(terms)))
 
 
-def text_hits(rows: DataFrame, docs: DataFrame, questions: DataFrame) -> DataFrame:
+def text_hits(
+    rows: DataFrame, docs: DataFrame, questions: DataFrame, *, broadcast_terms: int = BROADCAST_TERMS
+) -> DataFrame:
     """(question_id, organization_id, id, text_score, text_rank) of versions sharing any token.
 
-    The tokens of one version stay in one task from the posting join to the score, so the pairs
-    are summed and cut to the pool before anything is shuffled by question.
+    With up to ``broadcast_terms`` question terms they are broadcast: the tokens of one version stay
+    in one task from the postings to the score, so the pairs are summed and cut to the pool before
+    anything is shuffled. Beyond that both sides meet by token, each token spread over salts.
     """
     asks = question_terms(questions).select(
         "question_id", F.col("organization_id"), "token", F.col("pool").alias("q_pool"),
@@ -196,9 +203,15 @@ def text_hits(rows: DataFrame, docs: DataFrame, questions: DataFrame) -> DataFra
         .withColumn("__tf", F.size(F.filter("tokens", lambda t: t == F.col("token"))))
         .drop("tokens")
     )
+    if asks.count() <= broadcast_terms:
+        met = postings.join(F.broadcast(asks), ["organization_id", "token"])
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1)))
+        met = postings.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(TOKEN_SALTS)).cast("int")).join(
+            asks.withColumn("__salt", salts), ["organization_id", "token", "__salt"]
+        )
     scored = (
-        postings.join(asks, ["organization_id", "token"])
-        .where(eligible_pair())
+        met.where(eligible_pair())
         .groupBy("question_id", "organization_id", "id", "q_pool")
         .agg((F.sum("__tf") * TEXT_UNIT).alias("text_score"))
     )

@@ -128,8 +128,11 @@ def ivf_fit(rows: DataFrame, lists: int, *, per_list: int = 256, seed: int = 7,
     train = rows if fraction >= 1.0 else rows.sample(fraction=fraction, seed=seed)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     unit = F.transform("embedding", lambda x: x.cast("double") / norm)
-    data = train.select(array_to_vector(unit).alias("features"))
-    model = KMeans(k=lists, seed=seed, maxIter=iterations).fit(data)
+    data = train.select(array_to_vector(unit).alias("features")).persist()  # at most per_list * lists rows
+    try:
+        model = KMeans(k=lists, seed=seed, maxIter=iterations).fit(data)
+    finally:
+        data.unpersist()
     return _unit(model.clusterCenters())
 
 

@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from chronoweave.operators.ordered import keep_top
 
-QUESTION_BYTES = 64 << 20  # question vectors up to this size are broadcast, more are split into blocks
+QUESTION_BYTES = 32 << 20  # question vectors up to this size are broadcast, more are split into blocks
 BLOCK_ROWS = 20_000
+BLOCK_CELLS = 4_000_000  # distances a task holds at once
 
 Mask = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
@@ -28,29 +29,46 @@ def _unit(vectors: Sequence) -> np.ndarray:
     return m / np.where(norm == 0, 1.0, norm)
 
 
-def _best(rows: pd.DataFrame, questions: pd.DataFrame, group: list[str], mask: Mask | None) -> pd.DataFrame:
-    """The ``pool`` nearest rows of each question within the same group, from these blocks."""
-    out = []
+def _best(
+    rows: pd.DataFrame, questions: pd.DataFrame, group: list[str], mask: Mask | None, limits: dict | None = None
+) -> pd.DataFrame:
+    """The ``pool`` nearest rows of each question within the same group, from these blocks.
+
+    ``limits`` carries, from block to block of one task, the distance within which a question has
+    already found ``pool`` rows; anything farther is not worth sending.
+    """
+    limits = {} if limits is None else limits
+    asked_ids, row_ids, distances = [], [], []
     by_group = dict(tuple(questions.groupby(group))) if len(questions) else {}
     for key, part in rows.groupby(group):
         asked = by_group.get(key)
         if asked is None:
             continue
-        distance = 1.0 - _unit(part["embedding"]) @ _unit(asked["vector"]).T
-        if mask is not None:
-            distance = np.where(mask(part, asked), distance, np.inf)
-        ids = part["id"].to_numpy()
-        for j, (qid, pool) in enumerate(zip(asked["question_id"], asked["pool"])):
-            column = distance[:, j]
-            near = np.flatnonzero(np.isfinite(column))
-            if len(near) > pool:
-                edge = np.partition(column[near], pool - 1)[pool - 1]
-                near = near[column[near] <= edge]  # ties at the edge are settled by id below
-            near = near[np.lexsort((ids[near], column[near]))][:pool]
-            if len(near):
-                out.append(pd.DataFrame({"question_id": qid, "id": ids[near], "distance": column[near]}))
-    if out:
-        return pd.concat(out, ignore_index=True)
+        limit = limits.setdefault(key, np.full(len(asked), np.inf))
+        ids, vectors = part["id"].to_numpy(), _unit(part["embedding"])
+        qids, pools = asked["question_id"].to_numpy(), asked["pool"].to_numpy()
+        step = max(1, BLOCK_CELLS // len(part))
+        for at in range(0, len(asked), step):
+            some = asked.iloc[at : at + step]
+            distance = 1.0 - vectors @ _unit(some["vector"]).T
+            if mask is not None:
+                distance = np.where(mask(part, some), distance, np.inf)
+            for j in range(len(some)):
+                column, pool = distance[:, j], int(pools[at + j])
+                near = np.flatnonzero(np.isfinite(column) & (column <= limit[at + j]))
+                if len(near) >= pool:
+                    edge = np.partition(column[near], pool - 1)[pool - 1]
+                    near = near[column[near] <= edge]  # ties at the edge are settled by id below
+                    limit[at + j] = edge
+                near = near[np.lexsort((ids[near], column[near]))][:pool]
+                if len(near):
+                    asked_ids.append(np.repeat(qids[at + j : at + j + 1], len(near)))
+                    row_ids.append(ids[near])
+                    distances.append(column[near])
+    if asked_ids:
+        return pd.DataFrame(
+            {"question_id": np.concatenate(asked_ids), "id": np.concatenate(row_ids), "distance": np.concatenate(distances)}
+        )
     return pd.DataFrame({"question_id": [], "id": [], "distance": []}).astype(
         {"question_id": questions["question_id"].dtype, "id": rows["id"].dtype, "distance": "float64"}
     )
@@ -63,13 +81,15 @@ def nearest_blocks(
     group: list[str],
     dims: int,
     mask: Mask | None = None,
+    max_pool: int = 200,
     question_bytes: int = QUESTION_BYTES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(question_id, id, distance, rank): the ``pool`` nearest rows of the same group per question.
 
     ``rows``: ``id, embedding``, the group columns and what ``mask`` reads; ``questions``:
-    ``question_id, vector, pool``, the group columns and what ``mask`` reads.
+    ``question_id, vector, pool``, the group columns and what ``mask`` reads. No pool exceeds
+    ``max_pool``.
     """
     spark = rows.sparkSession
     id_type = rows.schema["id"].dataType.simpleString()
@@ -81,8 +101,9 @@ def nearest_blocks(
         shared = spark.sparkContext.broadcast(questions.toPandas())  # at most question_bytes, checked above
 
         def scan(batches):
+            limits: dict = {}
             for batch in batches:
-                yield _best(batch, shared.value, group, mask)
+                yield _best(batch, shared.value, group, mask, limits)
 
         local = rows.mapInPandas(scan, schema)
     else:
@@ -92,21 +113,21 @@ def nearest_blocks(
             "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
         )
         r = rows.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).withColumn(
-            "__qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
+            "__qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
         )
         local = (
             r.groupBy("__qb", "__salt")
-            .cogroup(q.withColumn("__qb", F.col("__qb").cast("long")).groupBy("__qb", "__salt"))
+            .cogroup(q.groupBy("__qb", "__salt"))
             .applyInPandas(lambda left, right: _best(left, right, group, mask), schema)
         )
     pools = questions.groupBy("question_id").agg(F.max("pool").alias("__pool"))
-    top = keep_top(local, ["question_id"], [F.col("distance"), F.col("id")], 200, "rank")
+    top = keep_top(local, ["question_id"], [F.col("distance"), F.col("id")], max_pool, "rank")
     return top.join(pools, "question_id").where(F.col("rank") <= F.col("__pool")).drop("__pool")
 
 
 def nearest(rows: DataFrame, questions: DataFrame, n: int, dims: int, group: list[str]) -> DataFrame:
     """The n nearest rows of the same tenant and model."""
-    return nearest_blocks(rows, questions.withColumn("pool", F.lit(n)), group=group, dims=dims)
+    return nearest_blocks(rows, questions.withColumn("pool", F.lit(n)), group=group, dims=dims, max_pool=n)
 
 
 # --- inverted lists ----------------------------------------------------------------------------
@@ -163,7 +184,7 @@ def ivf_search(
     probing = questions.withColumn(
         "list", F.explode(_ranked_lists(F.col("vector"), shared, min(probes, len(centroids))))
     ).withColumn("pool", F.lit(n))
-    return nearest_blocks(assigned, probing, group=["list"], dims=dims)
+    return nearest_blocks(assigned, probing, group=["list"], dims=dims, max_pool=n)
 
 
 def ann_recall(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -19,6 +19,7 @@ from chronoweave.functions.privacy import PRIVACY_ORDER
 from chronoweave.operators.ordered import (
     CHUNK_ROWS,
     HOT_ROWS,
+    HotKeys,
     chunked_scan,
     first_per_key,
     hot_keys,
@@ -51,7 +52,7 @@ def assign_recorded_at(
     chunk: Column | None = None,
     floor_us: Column | None = None,
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Number each fact's accepted claims and give them their transaction time ``recorded_at``."""
     return number_and_time(

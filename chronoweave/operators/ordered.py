@@ -1,20 +1,24 @@
 """Order-dependent work per key that stays balanced when one key holds most of the rows.
 
-A plain window partitioned by the key puts a hot key into one task. The helpers here split hot
-keys into chunks of their order, run the window inside (key, chunk), and carry one summary row
-per chunk across. Cold keys keep a single chunk and pay one shuffle.
+A plain window partitioned by the key puts a hot key into one task. The helpers here first ask
+which keys are hot (one narrow count, combined on the map side). Without any, a plain window is
+used: one shuffle. Hot keys are split into chunks of their order; the window runs inside (key,
+chunk), and one summary row per chunk carries over what came before it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.session import cut_lineage
+
 # A key with more rows than this is split. Hence there are fewer than rows / HOT_ROWS hot keys,
-# which bounds the size of every broadcast of hot keys or of their chunk summaries.
+# which bounds the size of every broadcast of hot keys.
 HOT_ROWS = 1_000_000
 CHUNK_ROWS = 4096
 
@@ -25,25 +29,41 @@ def time_chunk(ts: Column, seconds: int = 3600) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than ``hot_rows`` rows. Pass the result to several scans of the same rows:
-    Spark then computes and broadcasts it once."""
+@dataclass(frozen=True)
+class HotKeys:
+    """The keys to split; ``frame`` is None when there is none."""
+
+    frame: DataFrame | None
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> HotKeys:
+    """Find the keys with more than ``hot_rows`` rows. Pass the result to every scan of these rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    return counts.where(F.col("__rows") > hot_rows).select(*keys, F.lit(True).alias(_HOT))
+    hot = counts.where(F.col("__rows") > hot_rows).select(*keys, F.lit(True).alias(_HOT))
+    if hot.isEmpty():
+        return HotKeys(None)
+    return HotKeys(cut_lineage(hot))
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], chunk: Column, hot_rows: int, hot: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """Add ``__chunk`` (0 for cold keys); also return the hot keys."""
-    if not keys:
-        return df.withColumn(_CHUNK, chunk.cast("long")), None
-    if hot is None:
-        hot = hot_keys(df, keys, hot_rows)
-    marked = df.join(F.broadcast(hot), list(keys), "left").withColumn(
+@dataclass(frozen=True)
+class _Chunks:
+    """How one scan is split: the rows with their chunk, and the rows whose chunks need a carry."""
+
+    rows: DataFrame
+    carried: DataFrame | None
+    by: list[str]
+
+
+def _split(df: DataFrame, keys: list[str], chunk: Column, hot: HotKeys) -> _Chunks:
+    numbered = df.withColumn(_CHUNK, chunk.cast("long"))
+    if not keys:  # the whole input is one group
+        return _Chunks(numbered, numbered, [_CHUNK])
+    if hot.frame is None:
+        return _Chunks(df, None, keys)
+    marked = df.join(F.broadcast(hot.frame), keys, "left").withColumn(
         _CHUNK, F.when(F.col(_HOT), chunk.cast("long")).otherwise(F.lit(0).cast("long"))
     )
-    return marked.drop(_HOT), hot
+    return _Chunks(marked.drop(_HOT), numbered.join(F.broadcast(hot.frame), keys, "left_semi"), [*keys, _CHUNK])
 
 
 def chunked_scan(
@@ -58,24 +78,23 @@ def chunked_scan(
     running_sum: Mapping[str, Column] | None = None,
     key_max: Mapping[str, Column] | None = None,
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Row number, running maxima and running sums per key in the given order.
 
     ``max_before`` is a running maximum that leaves the current row out; ``key_max`` is the maximum
-    over the whole key.
-
-    ``chunk`` must be non-decreasing in ``order``. With no keys the whole input is one group and
-    is always split by chunk.
+    over the whole key. ``chunk`` must be non-decreasing in ``order``. With no keys the whole input
+    is one group and is always split by chunk.
     """
-    before_max, whole = dict(max_before or {}), dict(key_max or {})
-    maxima = {**(running_max or {}), **before_max, **whole}
-    sums = dict(running_sum or {})
     keys = list(keys)
-    marked, hot = split_hot(df, keys, chunk, hot_rows, hot)
-    local = W.partitionBy(*keys, _CHUNK).orderBy(*order)
+    before_max, whole, sums = dict(max_before or {}), dict(key_max or {}), dict(running_sum or {})
+    maxima = {**(running_max or {}), **before_max, **whole}
+    if hot is None:
+        hot = hot_keys(df, keys, hot_rows) if keys else HotKeys(None)
+    parts = _split(df, keys, chunk, hot)
+    local = W.partitionBy(*parts.by).orderBy(*order)
     upto = local.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = marked
+    rows = parts.rows
     if number:
         rows = rows.withColumn("__n", F.row_number().over(local).cast("long"))
     for name, expr in maxima.items():
@@ -83,17 +102,21 @@ def chunked_scan(
         if name in before_max:
             frame = local.rowsBetween(W.unboundedPreceding, -1)
         elif name in whole:
-            frame = W.partitionBy(*keys, _CHUNK)
+            frame = W.partitionBy(*parts.by)
         rows = rows.withColumn(f"__max_{name}", F.max(expr).over(frame))
     for name, expr in sums.items():
         rows = rows.withColumn(f"__sum_{name}", F.sum(expr).over(upto))
+    out = [F.col(c) for c in df.columns]
+    if parts.carried is None:
+        if number:
+            out.append(F.col("__n").alias(number))
+        out += [F.col(f"__max_{n}").alias(n) for n in maxima] + [F.col(f"__sum_{n}").alias(n) for n in sums]
+        return rows.select(*out)
 
-    # One summary row per chunk of a hot key; what came before the chunk is carried into it.
-    hot_input = df if hot is None else df.join(F.broadcast(hot), keys, "left_semi")
     totals = [F.count(F.lit(1)).alias("__c")]
     totals += [F.max(e).alias(f"__tmax_{n}") for n, e in maxima.items()]
     totals += [F.sum(e).alias(f"__tsum_{n}") for n, e in sums.items()]
-    summary = hot_input.withColumn(_CHUNK, chunk.cast("long")).groupBy(*keys, _CHUNK).agg(*totals)
+    summary = parts.carried.groupBy(*keys, _CHUNK).agg(*totals)
     before = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
     carry = summary.select(
         *keys,
@@ -106,20 +129,14 @@ def chunked_scan(
         *[F.sum(f"__tsum_{n}").over(before).alias(f"__csum_{n}") for n in sums],
     )
     joined = rows.join(carry, [*keys, _CHUNK], "left")
-    out = list(df.columns)
-    selected = [F.col(c) for c in out]
     if number:
-        selected.append((F.col("__n") + F.coalesce("__cn", F.lit(0))).alias(number))
-    for name in maxima:
-        selected.append(F.greatest(f"__max_{name}", f"__cmax_{name}").alias(name))
+        out.append((F.col("__n") + F.coalesce("__cn", F.lit(0))).alias(number))
+    out += [F.greatest(f"__max_{n}", f"__cmax_{n}").alias(n) for n in maxima]
     for name in sums:
-        selected.append(
-            F.when(
-                F.col(f"__sum_{name}").isNotNull() | F.col(f"__csum_{name}").isNotNull(),
-                F.coalesce(f"__sum_{name}", F.lit(0)) + F.coalesce(f"__csum_{name}", F.lit(0)),
-            ).alias(name)
-        )
-    return joined.select(*selected)
+        some = F.col(f"__sum_{name}").isNotNull() | F.col(f"__csum_{name}").isNotNull()
+        both = F.coalesce(f"__sum_{name}", F.lit(0)) + F.coalesce(f"__csum_{name}", F.lit(0))
+        out.append(F.when(some, both).alias(name))
+    return joined.select(*out)
 
 
 def number_and_time(
@@ -133,7 +150,7 @@ def number_and_time(
     out: str,
     floor_us: Column | None = None,
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Number the rows of each key and give each a strictly increasing time, in one scan.
 
@@ -142,30 +159,30 @@ def number_and_time(
     """
     keys = list(keys)
     at = F.unix_micros(arrival)
-    marked, hot = split_hot(df, keys, chunk, hot_rows, hot)
-    local = W.partitionBy(*keys, _CHUNK).orderBy(*order)
+    parts = _split(df, keys, chunk, hot_keys(df, keys, hot_rows) if hot is None else hot)
+    local = W.partitionBy(*parts.by).orderBy(*order)
     upto = local.rowsBetween(W.unboundedPreceding, W.currentRow)
 
     def scan(rows: DataFrame) -> DataFrame:
         numbered = rows.withColumn("__n", F.row_number().over(local).cast("long"))
         return numbered.withColumn("__lead", F.max(at - F.col("__n")).over(upto))
 
-    hot_input = df.join(F.broadcast(hot), keys, "left_semi").withColumn(_CHUNK, chunk.cast("long"))
-    summary = (
-        scan(hot_input).groupBy(*keys, _CHUNK).agg(F.max("__n").alias("__c"), F.max("__lead").alias("__m"))
-    )
-    before = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    counted = summary.withColumn("__cn", F.coalesce(F.sum("__c").over(before), F.lit(0)))
-    carry = counted.withColumn("__cm", F.max(F.col("__m") - F.col("__cn")).over(before)).select(
-        *keys, _CHUNK, "__cn", "__cm"
-    )
-    joined = scan(marked).join(carry, [*keys, _CHUNK], "left").withColumn("__cn", F.coalesce("__cn", F.lit(0)))
+    rows = scan(parts.rows)
+    if parts.carried is None:
+        rows = rows.withColumn("__cn", F.lit(0).cast("long")).withColumn("__cm", F.lit(None).cast("long"))
+    else:
+        summary = scan(parts.carried).groupBy(*keys, _CHUNK).agg(F.max("__n").alias("__c"), F.max("__lead").alias("__m"))
+        before = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+        counted = summary.withColumn("__cn", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+        carry = counted.withColumn("__cm", F.max(F.col("__m") - F.col("__cn")).over(before)).select(
+            *keys, _CHUNK, "__cn", "__cm"
+        )
+        rows = rows.join(carry, [*keys, _CHUNK], "left").withColumn("__cn", F.coalesce("__cn", F.lit(0)))
     n = F.col("__n") + F.col("__cn")
-    best = [F.col("__lead") - F.col("__cn"), F.col("__cm"), F.lit(None).cast("long")]
+    best = [F.col("__lead") - F.col("__cn"), F.col("__cm")]
     if floor_us is not None:
         best.append(floor_us)
-    time = F.timestamp_micros(F.greatest(*best) + n)
-    return joined.select(*df.columns, n.alias(number), time.alias(out))
+    return rows.select(*df.columns, n.alias(number), F.timestamp_micros(F.greatest(*best) + n).alias(out))
 
 
 def with_neighbours(
@@ -197,50 +214,62 @@ def with_neighbours(
     return spread.where(F.col("__home") == F.col("__block")).drop("__home", "__block")
 
 
-def asof_rank(
+def asof_ranks(
     probes: DataFrame,
     versions: DataFrame,
     keys: Sequence[str],
-    probe_time: str,
-    version_time: str,
+    times: Mapping[str, tuple[str, str]],
     position: str,
-    out: str,
     *,
     chunk_seconds: int = 3600,
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """For each probe the highest ``position`` of its key with ``version_time`` <= ``probe_time``.
+    """For each probe and each ``out: (probe_time, version_time)`` of ``times``, the highest
+    ``position`` of its key with ``version_time`` <= ``probe_time``.
 
-    Both sides are unioned and scanned once in time order, so the cost is linear in probes plus
-    versions however many of them share a key. A probe with a null time gets null; one before
-    every version gets 0.
+    All probes and versions are laid out on one timeline per (key, version_time) and scanned once
+    in time order, so the cost is linear in probes plus versions however many share a key. A null
+    probe time gives null, one before every version gives 0. Probes must be distinct rows.
     """
+    lines = {column: n for n, column in enumerate(dict.fromkeys(v for _, v in times.values()))}
+    probe_type = probes.select(F.struct(*probes.columns).alias("s")).schema["s"].dataType
     marks = versions.select(
         *keys,
-        F.col(version_time).alias("__t"),
-        F.lit(0).alias("__kind"),
+        F.inline(F.array(*[F.struct(F.lit(n).alias("__line"), F.col(c).alias("__t")) for c, n in lines.items()])),
         F.col(position).cast("long").alias("__pos"),
-        F.lit(None).cast(probes.select(F.struct(*probes.columns).alias("s")).schema["s"].dataType).alias("__probe"),
+    ).select(
+        *keys, "__line", "__t", F.lit(0).alias("__kind"), "__pos", F.lit(None).cast("string").alias("__out"),
+        F.lit(None).cast(probe_type).alias("__probe"),
     )
     asked = probes.select(
         *keys,
-        F.col(probe_time).alias("__t"),
-        F.lit(1).alias("__kind"),
-        F.lit(None).cast("long").alias("__pos"),
+        F.inline(
+            F.array(*[
+                F.struct(F.lit(lines[v]).alias("__line"), F.col(p).alias("__t"), F.lit(out).alias("__out"))
+                for out, (p, v) in times.items()
+            ])
+        ),
         F.struct(*probes.columns).alias("__probe"),
-    )
+    ).select(*keys, "__line", "__t", F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__pos"), "__out", "__probe")
+    both = marks.unionByName(asked).where(F.col("__t").isNotNull())
+    line_keys = [*keys, "__line"]
+    counted = versions.select(*keys, F.lit(0).alias("__line")).unionByName(probes.select(*keys, F.lit(0).alias("__line")))
+    hot = hot_keys(counted, list(keys), hot_rows)
+    if hot.frame is not None:  # every timeline of a hot key is split
+        every = F.explode(F.array(*[F.lit(n) for n in lines.values()])).alias("__line")
+        hot = HotKeys(hot.frame.select(*keys, every, F.lit(True).alias(_HOT)))
     scanned = chunked_scan(
-        marks.unionByName(asked).where(F.col("__t").isNotNull() | (F.col("__kind") == 1)),
-        keys,
-        F.coalesce(time_chunk(F.col("__t"), chunk_seconds), F.lit(-(2**62))),
-        [F.col("__t").asc_nulls_first(), F.col("__kind")],
-        running_max={"__rank": F.col("__pos")},
-        hot_rows=hot_rows,
-        hot=hot,
+        both, line_keys, time_chunk(F.col("__t"), chunk_seconds), [F.col("__t"), F.col("__kind")],
+        running_max={"__rank": F.col("__pos")}, hot=hot,
+    )
+    rank = F.coalesce("__rank", F.lit(0).cast("long"))
+    found = scanned.where("__kind = 1").select("__probe.*", "__out", rank.alias("__rank"))
+    if len(times) == 1:
+        (out,) = times
+        return found.drop("__out").withColumnRenamed("__rank", out)
+    return found.groupBy(*probes.columns).agg(
+        *[F.max(F.when(F.col("__out") == out, F.col("__rank"))).alias(out) for out in times]
     )
-    rank = F.when(F.col("__t").isNotNull(), F.coalesce("__rank", F.lit(0).cast("long")))
-    return scanned.where("__kind = 1").select("__probe.*", rank.alias(out))
 
 
 def keep_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit, rank: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.privacy import scope_ordinal, visible
-from chronoweave.operators.ordered import HOT_ROWS, asof_rank, hot_keys
+from chronoweave.operators.ordered import HOT_ROWS, asof_ranks
 
 FACT = ["organization_id", "fact_id"]
 ENTITY = ["organization_id", "entity_type", "external_id"]
@@ -73,15 +73,6 @@ def _entity_facts(versions: DataFrame) -> DataFrame:
     return versions.select(*ENTITY, "fact_id").distinct()
 
 
-def _position_at(probes: DataFrame, versions: DataFrame, asked: str, column: str, out: str, hot: DataFrame) -> DataFrame:
-    return asof_rank(probes, versions, FACT, asked, column, "version", out, hot=hot)
-
-
-def _hot_facts(probes: DataFrame, versions: DataFrame, hot_rows: int) -> DataFrame:
-    """Facts with many versions or many probes."""
-    return hot_keys(probes.select(*FACT).unionByName(versions.select(*FACT)), FACT, hot_rows)
-
-
 def facts_at(
     versions: DataFrame,
     asks: DataFrame,
@@ -97,14 +88,13 @@ def facts_at(
     ``same_instant=True`` promises ``known_at = valid_at`` for every ask; one as-of scan then does.
     """
     probes = asks.select("ask_id", *ENTITY, "valid_at", "known_at").join(_entity_facts(versions), ENTITY)
-    hot = _hot_facts(probes, versions, hot_rows)
     if same_instant:
-        timed = versions.withColumn("__known_and_valid", F.greatest("valid_from", "recorded_at"))
-        ranked = _position_at(probes, timed, "valid_at", "__known_and_valid", "__v", hot)
+        timed = versions.withColumn("__both", F.greatest("valid_from", "recorded_at"))
+        ranked = asof_ranks(probes, timed, FACT, {"__v": ("valid_at", "__both")}, "version", hot_rows=hot_rows)
     else:
-        started = _position_at(probes, versions, "valid_at", "valid_from", "__vt", hot)
-        both = _position_at(started, versions, "known_at", "recorded_at", "__vk", hot)
-        ranked = both.withColumn("__v", F.least("__vt", "__vk"))  # least() skips a null K
+        times = {"__vt": ("valid_at", "valid_from"), "__vk": ("known_at", "recorded_at")}
+        ranked = asof_ranks(probes, versions, FACT, times, "version", hot_rows=hot_rows)
+        ranked = ranked.withColumn("__v", F.least("__vt", "__vk"))  # least() skips a null K
     candidate = ranked.where("__v > 0").select(
         "ask_id", "valid_at", "known_at", *FACT, F.col("__v").cast("int").alias("version")
     )
@@ -152,10 +142,10 @@ def changes_between(versions: DataFrame, asks: DataFrame, *, hot_rows: int = HOT
     probes = asks.where(F.col("end_at") > F.col("start_at")).select(
         "ask_id", *ENTITY, "start_at", "end_at", "known_at"
     ).join(_entity_facts(versions), ENTITY)
-    hot = _hot_facts(probes, versions, hot_rows)
-    r = _position_at(probes, versions, "start_at", "valid_from", "__v1", hot)
-    r = _position_at(r, versions, "end_at", "valid_from", "__v2", hot)
-    r = _position_at(r, versions, "known_at", "recorded_at", "__vk", hot)
+    times = {
+        "__v1": ("start_at", "valid_from"), "__v2": ("end_at", "valid_from"), "__vk": ("known_at", "recorded_at")
+    }
+    r = asof_ranks(probes, versions, FACT, times, "version", hot_rows=hot_rows)
     r = r.withColumn("__a", F.least("__v1", "__vk")).withColumn("__b", F.least("__v2", "__vk"))
 
     # The version at the position counts as before/after only if it had not ended, as known at K.

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.operators.ordered import (
-    asof_rank, chunked_scan, keep_top, nth_smallest, number_and_time, with_neighbours,
+    asof_ranks, chunked_scan, keep_top, nth_smallest, number_and_time, with_neighbours,
 )
 
 
@@ -76,7 +76,7 @@ def test_number_and_time_is_strictly_increasing(spark, hot_rows):
 
 
 @pytest.mark.parametrize("hot_rows", [4, 1_000_000])
-def test_asof_rank(spark, hot_rows):
+def test_asof_ranks(spark, hot_rows):
     rng = random.Random(3)
     base = datetime(2024, 1, 1)
     hours = lambda h: base + timedelta(hours=h)
@@ -88,7 +88,8 @@ def test_asof_rank(spark, hot_rows):
     probes = [(i, rng.choice(["hot", "hot", "x", "y"]), rng.randrange(-5, 210)) for i in range(150)]
     v = spark.createDataFrame(versions, "key string, version int, at timestamp")
     p = spark.createDataFrame([(i, k, hours(h)) for i, k, h in probes] + [(999, "x", None)], "pid int, key string, when timestamp")
-    got = {r.pid: r.r for r in asof_rank(p, v, ["key"], "when", "at", "version", "r", hot_rows=hot_rows).collect()}
+    p = p.withColumn("sure", F.coalesce("when", F.lit("2030-01-01").cast("timestamp")))
+    got = {r.pid: r.r for r in asof_ranks(p, v, ["key"], {"r": ("when", "at"), "again": ("sure", "at")}, "version", hot_rows=hot_rows).collect()}
     assert got.pop(999) is None
     assert got == {i: sum(t <= h for t in times[k]) for i, k, h in probes}
 

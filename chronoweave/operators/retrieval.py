@@ -17,6 +17,7 @@ from chronoweave.operators.embedding import build_search_docs
 from chronoweave.operators.ordered import keep_top
 from chronoweave.operators.temporal import as_known
 from chronoweave.operators.vectors import nearest_blocks
+from chronoweave.session import cut_lineage
 
 # Limits and ranking constants.
 MAX_QUERY_CHARS = 1000
@@ -328,6 +329,7 @@ def search(
     Pass ``docs`` (a stored ``build_search_docs`` result) to skip tokenising the ledger again.
     """
     q, _ = normalize_questions(questions)
+    q = cut_lineage(q)  # every branch reads the questions
     rows = searchable(versions, revocations)
     text = text_hits(rows, build_search_docs(versions) if docs is None else docs, q)
     vector = None

@@ -96,9 +96,9 @@ def nearest_blocks(
     q_type = questions.schema["question_id"].dataType.simpleString()
     schema = f"question_id {q_type}, id {id_type}, distance double"
     allowed = max(1, question_bytes // (8 * dims + 256))
-    asked = questions.count()
-    if asked <= allowed:
-        shared = spark.sparkContext.broadcast(questions.toPandas())  # at most question_bytes, checked above
+    first = questions.limit(allowed + 1).toPandas()  # never more than question_bytes and one row
+    if len(first) <= allowed:
+        shared = spark.sparkContext.broadcast(first)
 
         def scan(batches):
             limits: dict = {}
@@ -107,7 +107,7 @@ def nearest_blocks(
 
         local = rows.mapInPandas(scan, schema)
     else:
-        blocks = -(-asked // allowed)
+        blocks = -(-questions.count() // allowed)
         salts = max(1, -(-rows.count() // block_rows))
         q = questions.withColumn("__qb", F.pmod(F.xxhash64("question_id"), F.lit(blocks))).withColumn(
             "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

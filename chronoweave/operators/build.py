@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as sc
+from chronoweave.functions.frames import computed_once
 from chronoweave.functions.privacy import PRIVACY_ORDER
 from chronoweave.operators.ordered import (
     CHUNK_ROWS,
@@ -306,14 +307,17 @@ def build_versions(
 
 def normalize_claims(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Normalise identifiers and values of whole claim tables; split off rejects with a reason."""
-    c = (
-        claims.withColumn("entity_type", sc.normalize_identifier(F.col("entity_type")))
-        .withColumn("external_id", sc.normalize_external_id(F.col("external_id")))
-        .withColumn("property", sc.normalize_identifier(F.col("property")))
-        .withColumn("value", sc.canonical_json(F.col("value")))
-        .withColumn("confidence", sc.normalize_confidence(F.coalesce(F.col("confidence").cast("string"), F.lit("1.000"))))
-        .withColumn("privacy_scope", F.coalesce("privacy_scope", F.lit("INTERNAL")))
-        .withColumn("observed_at", F.coalesce("observed_at", "valid_from"))
+    c = computed_once(
+        claims,
+        {
+            "entity_type": sc.normalize_identifier(F.col("entity_type")),
+            "external_id": sc.normalize_external_id(F.col("external_id")),
+            "property": sc.normalize_identifier(F.col("property")),
+            "value": sc.canonical_json(F.col("value")),
+            "confidence": sc.normalize_confidence(F.coalesce(F.col("confidence").cast("string"), F.lit("1.000"))),
+            "privacy_scope": F.coalesce("privacy_scope", F.lit("INTERNAL")),
+            "observed_at": F.coalesce("observed_at", "valid_from"),
+        },
     )
     reason = (
         F.when(~sc.identifier_ok(F.col("entity_type")), "bad_entity_type")
@@ -408,12 +412,10 @@ def capture_evidence(requests: DataFrame, existing: DataFrame | None = None) ->
     the rejected requests. Only ids and hashes travel for the duplicate search; the excerpt of a
     winner is picked up afterwards.
     """
-    # The normalised text sits under a generator: filters on it are not pushed through and repeated.
     excerpt = sc.normalize_excerpt(F.col("excerpt"))
-    rest = [c for c in requests.columns if c not in ("excerpt", "uri")]
-    r = requests.select(
-        *rest, sc.normalize_uri(F.col("uri")).alias("uri"),
-        F.inline(F.array(F.struct(excerpt.alias("excerpt"), sc.content_hash(excerpt).alias("content_sha256")))),
+    r = computed_once(
+        requests,
+        {"uri": sc.normalize_uri(F.col("uri")), "excerpt": excerpt, "content_sha256": sc.content_hash(excerpt)},
     )
     reason = F.coalesce(
         sc.excerpt_problem(F.col("excerpt")),

@@ -294,10 +294,18 @@ def versions_behind_source(source_ids: DataFrame, versions: DataFrame, links: Da
 
 
 def _relying(affected: DataFrame, decisions: DataFrame, decision_facts: DataFrame) -> DataFrame:
+    """Add the relying decisions; a version nothing relies on keeps one row with null.
+
+    An inner join plus the versions without a match, instead of an outer join: a version that very
+    many decisions relied on can then be split from either side.
+    """
     d = decision_facts.select("organization_id", "decision_id", "fact_version_id").join(
         _decision_refs(decisions).drop("snapshot_id"), ["organization_id", "decision_id"]
     )
-    return affected.join(d, ["organization_id", "fact_version_id"], "left")
+    on = ["organization_id", "fact_version_id"]
+    used = affected.join(d, on)
+    unused = affected.join(d.select(*on).distinct(), on, "left_anti")
+    return used.unionByName(unused, allowMissingColumns=True)
 
 
 def impact_of_source(source_ids, versions, links, evidence, decisions, decision_facts) -> DataFrame:

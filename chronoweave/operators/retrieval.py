@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as sc
+from chronoweave.functions.frames import computed_once
 from chronoweave.functions.privacy import PRIVACY_ORDER, scope_ordinal, visible_ordinal
 from chronoweave.functions.stemming import search_tokens
 from chronoweave.operators.embedding import build_search_docs
@@ -69,14 +70,17 @@ def normalize_questions(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
             q = q.withColumn(name, F.lit(default).cast(kind))
         elif default is not None:
             q = q.withColumn(name, F.coalesce(F.col(name), F.lit(default).cast(kind)))
-    q = (
-        q.withColumn("query", sc.collapse(F.col("query")))
-        .withColumn("entity_type", sc.normalize_identifier(F.col("entity_type")))
-        .withColumn("external_ids", _clean(F.transform("external_ids", sc.normalize_external_id)))
-        .withColumn("properties", _clean(F.transform("properties", sc.normalize_identifier)))
-        .withColumn("source_ids", _clean(F.col("source_ids")))
-        .withColumn("pool", pool_size(F.col("limit")))
-        .withColumn("ceiling", visible_ordinal(F.col("role"), F.col("max_privacy_scope")))
+    q = computed_once(
+        q,
+        {
+            "query": sc.collapse(F.col("query")),
+            "entity_type": sc.normalize_identifier(F.col("entity_type")),
+            "external_ids": _clean(F.transform("external_ids", sc.normalize_external_id)),
+            "properties": _clean(F.transform("properties", sc.normalize_identifier)),
+            "source_ids": _clean(F.col("source_ids")),
+            "pool": pool_size(F.col("limit")),
+            "ceiling": visible_ordinal(F.col("role"), F.col("max_privacy_scope")),
+        },
     )
     few = lambda c: F.coalesce(F.size(c) <= MAX_FILTER_VALUES, F.lit(True))
     reason = (

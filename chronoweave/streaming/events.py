@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoweave.functions.frames import computed_once
 from chronoweave.functions.privacy import PRIVACY_ORDER
 from chronoweave.session import cut_lineage
 
@@ -166,13 +167,11 @@ def decode(messages: DataFrame, *, source: str = SOURCE) -> DataFrame:
 
     Unknown payload fields are ignored, unknown envelope fields are not. Split on ``problem``.
     """
-    # The parse sits under a generator, which filters on its results cannot be pushed through: each
-    # message is parsed once, not once per check.
     e = F.from_json("value", "map<string,string>")
-    once = F.struct(
-        F.json_object_keys("value").alias("__keys"), e.alias("__e"), F.from_json(e["data"], "map<string,string>").alias("__d")
+    parsed = computed_once(
+        messages,
+        {"__keys": F.json_object_keys("value"), "__e": e, "__d": F.from_json(e["data"], "map<string,string>")},
     )
-    parsed = messages.select("*", F.inline(F.array(once)))
     env = lambda k: F.col("__e")[k]
     kinds = {"id": "uuid", "organization_id": "uuid", "subject": "uuid", "time": "time"}
     shape = (

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from chronoweave.operators.build import FACT, build_versions
 from chronoweave.operators.contradictions import value_conflicts
 from chronoweave.operators.ordered import HOT_ROWS
+from chronoweave.operators.temporal import latest_versions
 from chronoweave.session import cut_lineage
 
-TABLES = ("versions", "closures", "rejects", "contradictions")
+TABLES = ("versions", "closures", "rejects", "contradictions", "heads")
 
 
 class VersionStore:
@@ -34,11 +35,12 @@ class VersionStore:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={batch_id}")
 
     def heads(self, spark: SparkSession, claims: DataFrame, batch_id: int) -> DataFrame | None:
-        """Latest stored version of each fact in the batch, as written by earlier batches.
+        """Latest version of each fact in the batch, from the log of heads earlier batches wrote.
 
-        The last version of a fact is never closed by its own batch, so its stored row is current.
+        The log has one row per batch and touched fact. The last version of a fact is never closed
+        by its own batch, so its row is current.
         """
-        stored = self.read(spark, "versions")
+        stored = self.read(spark, "heads")
         if stored is None:
             return None
         touched = claims.select(*FACT).distinct()
@@ -63,6 +65,7 @@ def apply_claims_batch(batch: DataFrame, batch_id: int, store: VersionStore, *,
         chain = versions.unionByName(before.select(*versions.columns))
     conflicts = value_conflicts(chain)
     store.write(conflicts, "contradictions", batch_id)
+    store.write(latest_versions(versions), "heads", batch_id)
     store.write(versions, "versions", batch_id)
 
 

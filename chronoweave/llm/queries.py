@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import lru_cache
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronoweave.llm import byte_bpe, common, quality_rules, sequence_files, token_counts
+from chronoweave.llm import byte_bpe, common, decontamination, language_id, quality_rules, sequence_files, simhash, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +24,60 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def remainder(n: int) -> Column:
+    """Of crc32 of ``doc_id`` as text; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), remainder(4) == 2
+    model = language_id.train(docs, ~held_out)
+    return language_id.identify(docs, model, [held_out.alias("held_out")])
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch(spark, "sequences")
     sequence_files.write(documents(spark, sf_dir), folder, vocabulary("byte_bpe_50k.json"), end_id=2)
     return sequence_files.digests(sequence_files.read(spark, folder))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), g AS (
+  SELECT item_id, w[i : i + 12] AS g, least(len(w), 13) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM g),
+s AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n
+), h AS (
+  SELECT s.doc_id, s.i, s.n, g.item_id FROM s JOIN g ON s.w[s.i : s.i + s.n - 1] = g.g AND s.n = g.n
+), hw AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id
+), hi AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -39,7 +88,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_byte_bpe": (op2_byte_bpe, None),
+    "op3_language_id": (op3_language_id, None),
+    "op4_simhash": (op4_simhash, None),
     "op5_sequence_files": (op5_sequence_files, None),
+    "op7_decontamination": (op7_decontamination, OP7_SQL),
     "op8_token_counts": (op8_token_counts, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import byte_bpe, common, decontamination, language_id, quality_rules, sequence_files, simhash, token_counts
+from chronoweave.llm import byte_bpe, common, decontamination, language_id, lattice_lm, quality_rules, sequence_files, simhash, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,15 +20,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-
-
 def remainder(n: int) -> Column:
     """Of crc32 of ``doc_id`` as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), remainder(5) == 1
+    model = lattice_lm.train(docs.filter(~held_out), vocabulary("piece_bpe_32k.model"))
+    return lattice_lm.scores(docs, model, [held_out.alias("held_out")])
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), remainder(4) == 2
     model = language_id.train(docs, ~held_out)
@@ -87,6 +93,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lattice_lm": (op1_lattice_lm, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
     "op3_language_id": (op3_language_id, None),
     "op4_simhash": (op4_simhash, None),

@@ -26,8 +26,8 @@ MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Bounds of the distances, and the words a text needs for each to count.
 CLASS_BOUND, CLASS_WORDS = 0.30, 20
 WORD_BOUND, WORD_WORDS = 0.50, 60
-#: Distinct words a task counts before it hands them on.
-HELD_WORDS = 200_000
+#: Words of a summary, and distinct words of a language that a task holds before it makes one.
+SUMMARY, HELD_WORDS = int(4 / COMMON), 50_000
 
 
 def _classes() -> np.ndarray:
@@ -75,63 +75,70 @@ def _counts(data: bytes) -> tuple[np.ndarray, int, int]:
     return classes, int(bytes_.sum() - classes[0]), int(bytes_[_SYMBOL].sum())
 
 
+def _thinned(counts: Counter, most: int = SUMMARY) -> Counter:
+    """A summary of counts in bounded memory: each is lowered by the same amount until at most ``most`` are left. A word that
+    makes up more than ``1 / (most + 1)`` of all words counted, over however many such steps, is never lost."""
+    if len(counts) <= most:
+        return counts
+    floor = sorted(counts.values(), reverse=True)[most]
+    return Counter({w: n - floor for w, n in counts.items() if n > floor})
+
+
 def references(docs: DataFrame) -> dict:
-    """``classes``: a histogram for each language; ``words``: for each language its common words and their shares. Counted
-    over all rows with a language and a word; at most ``CLASSES`` numbers and ``1 / COMMON`` words a language reach the
-    driver."""
+    """``classes``: a histogram for each language; ``words``: for each language its common words and their shares.
+
+    Both cover all rows with a language and a word. Common words are found exactly in two passes: summaries in bounded memory,
+    which lose no common word, then counts of the words they name. For each language the driver sees ``CLASSES`` numbers and
+    at most about ``1.4 / COMMON`` words.
+    """
     common.ready(docs.sparkSession)
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropna()
+    schema = "lang string, word binary, n long, class int"
+
+    def table(words: dict[str, dict[bytes, int]], classes: dict[str, np.ndarray]) -> pa.RecordBatch:
+        cells = [(lang, w, n, None) for lang, own in words.items() for w, n in own.items()]
+        cells += [(lang, None, int(n), k) for lang, own in classes.items() for k, n in enumerate(own)]
+        kinds = (pa.string(), pa.binary(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], kind) for i, kind in enumerate(kinds)], ["lang", "word", "n", "class"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
         classes: dict[str, np.ndarray] = {}
-
-        def rows():
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k for k, c in words.items() for _ in c], pa.string()),
-                    pa.array([w for c in words.values() for w in c], pa.binary()),
-                    pa.array([n for c in words.values() for n in c.values()], pa.int64()),
-                    pa.nulls(sum(map(len, words.values())), pa.int32()),
-                ],
-                ["lang", "word", "n", "class"],
-            )
-
         for batch in batches:
             for lang, data in zip(batch.column("lang").to_pylist(), common.texts_bytes(batch.column("text")), strict=True):
                 words.setdefault(lang, Counter()).update(data.lower().split())
-                classes[lang] = classes.get(lang, 0) + _counts(data)[0]
-            if sum(map(len, words.values())) > HELD_WORDS:
-                yield rows()
-                words = {}
-        yield rows()
-        if classes:
-            n = len(classes)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(list(classes), CLASSES), pa.string()),
-                    pa.nulls(n * CLASSES, pa.binary()),
-                    pa.array(np.concatenate(list(classes.values())).astype(np.int64), pa.int64()),
-                    pa.array(np.tile(np.arange(CLASSES), n), pa.int32()),
-                ],
-                ["lang", "word", "n", "class"],
-            )
-
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropna()
-    counted = rows.mapInArrow(run, "lang string, word binary, n long, class int").groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
-    counted = common.stored(counted, "word-counts")
-    sums = {r["lang"]: r["n"] for r in counted.filter("class is null").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+                if len(words[lang]) > HELD_WORDS:
+                    words[lang] = _thinned(words[lang])
+                counts = _counts(data)[0]
+                classes[lang] = classes.get(lang, 0) + np.append(counts, len(data.split()))
+        yield table({lang: _thinned(own) for lang, own in words.items()}, classes)
+
+    summary = common.stored(rows.mapInArrow(summarise, schema).groupBy("lang", "word", "class").agg(F.sum("n").alias("n")), "word-summary")
+    classes: dict[str, np.ndarray] = {}
+    for r in summary.filter("word is null").collect():
+        classes.setdefault(r["lang"], np.zeros(CLASSES + 1))[r["class"]] = r["n"]
+    sums = {lang: own[-1] for lang, own in classes.items() if own[-1] > 0}
     if not sums:
         return {"classes": {}, "words": {}}
-    least = F.create_map(*[F.lit(x) for lang, n in sums.items() for x in (lang, float(n) * COMMON)])
-    frequent = counted.filter("class is null").filter(F.col("n") >= least[F.col("lang")]).collect()
-    classes: dict[str, np.ndarray] = {lang: np.zeros(CLASSES) for lang in sums}
-    for r in counted.filter("class is not null").collect():
-        if r["lang"] in classes:
-            classes[r["lang"]][r["class"]] = r["n"]
+    least = F.create_map(*[F.lit(x) for lang, n in sums.items() for x in (lang, float(n) * (COMMON - 1 / (SUMMARY + 1)))])
+    named: dict[str, set[bytes]] = {lang: set() for lang in sums}
+    for r in summary.filter(F.col("word").isNotNull() & (F.col("n") >= least[F.col("lang")])).collect():
+        named[r["lang"]].add(bytes(r["word"]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, data in zip(batch.column("lang").to_pylist(), common.texts_bytes(batch.column("text")), strict=True):
+                if wanted := named.get(lang):
+                    words.setdefault(lang, Counter()).update(filter(wanted.__contains__, data.lower().split()))
+        yield table(words, {})
+
     words: dict[str, dict[bytes, float]] = {lang: {} for lang in sums}
-    for r in sorted(frequent, key=lambda r: bytes(r["word"])):
-        words[r["lang"]][bytes(r["word"])] = r["n"] / sums[r["lang"]]
-    return {"classes": {k: v / v.sum() for k, v in classes.items()}, "words": words}
+    exact = rows.mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
+    for r in sorted(exact, key=lambda r: bytes(r["word"])):
+        if r["n"] >= COMMON * sums[r["lang"]]:
+            words[r["lang"]][bytes(r["word"])] = r["n"] / sums[r["lang"]]
+    return {"classes": {k: classes[k][:-1] / classes[k][:-1].sum() for k in sums}, "words": words}
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:

@@ -47,7 +47,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch(spark, "sequences")
-    sequence_files.write(documents(spark, sf_dir), folder, vocabulary("byte_bpe_50k.json"), end_id=2)
+    sequence_files.write(documents(spark, sf_dir), folder, vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
     return sequence_files.digests(sequence_files.read(spark, folder))
 
 

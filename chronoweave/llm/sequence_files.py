@@ -13,6 +13,7 @@ file. No document passes through the driver: it sees one row a part.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -22,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,33 +121,53 @@ def unframe(data: bytes, lengths: list[int]) -> list[bytes]:
     return payloads
 
 
+def _byte_letters() -> str:
+    """The letters of byte-level vocabularies, by byte: itself where it is visible in Latin-1, else the next from U+0100."""
+    hidden = iter(range(256, 512))
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return "".join(chr(b if b in visible else next(hidden)) for b in range(256))
+
+
 class Encoder:
-    """Ids by the tokenizers library, which is asked once for each distinct piece; a text that holds an added token is given
-    to it whole."""
+    """Ids by the tokenizers library. If its file cuts texts by ``pattern`` into byte-level matches, its model is asked once for
+    each distinct match; texts with an added token, and any other file, go to the library whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str | None):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.later = Memo(lambda piece: self.whole(" " + piece), 200_000)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
+        self.kind = f"<u{self.width}"
+        setting = json.loads(self.library.to_str())
+        cut = setting["pre_tokenizer"] or {}
+        plain = setting["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        self.by_match = bool(pattern and plain)
+        if self.by_match:
+            self.find, self.letters = regex.compile(pattern).findall, dict(enumerate(_byte_letters()))
+            self.match = Memo(self._match, 150_000)
+            self.later = Memo(lambda piece: self._matches(" " + piece), 300_000)
+
+    def _match(self, match: str) -> bytes:
+        tokens = self.library.model.tokenize(match.encode().decode("latin-1").translate(self.letters))
+        return b"".join([t.id.to_bytes(self.width, "little") for t in tokens])
+
+    def _matches(self, text: str) -> bytes:
+        return b"".join([self.match[m] if len(m) < 200 else self._match(m) for m in self.find(text)])
 
     def encode(self, text: str | None) -> bytes:
+        """Ids of ``width`` bytes each, little-endian."""
         if not text:
             return b""
-        if any(a in text for a in self.added):
-            return self.whole(text)
+        if not self.by_match or any(a in text for a in self.added):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
         first, *rest = pieces(text)
-        return b"".join([self.whole(first), *map(self.later.__getitem__, rest)])
+        return b"".join([self._matches(first), *map(self.later.__getitem__, rest)])
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Encoder:
-    return Encoder(path)
+def load(path: str, pattern: str | None) -> Encoder:
+    return Encoder(path, pattern)
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -153,7 +175,7 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int | None = None) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str | None, end_id: int, parts: int | None = None) -> DataFrame:
     """Encode every row, append ``end_id``, write the files in ascending ``doc_id`` order and return the stored manifest:
     ``part``, ``file``, ``width``, ``docs``, ``ids``.
 
@@ -167,7 +189,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int
     rows = common.texts_of(docs).withColumn("_h", common.text_hash(F.col("text"))).repartitionByRange(parts, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = load(tokenizer), TaskContext.get().partitionId()
+        encoder, number = load(tokenizer, pattern), TaskContext.get().partitionId()
         end = np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
         store, root = _store(folder)
         name, own = f"part-{number:05d}", uuid.uuid4().hex

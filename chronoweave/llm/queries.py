@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import byte_bpe, common, decontamination, language_id, lattice_lm, quality_rules, sequence_files, simhash, token_counts
+from chronoweave.llm import byte_bpe, common, decontamination, language_id, lattice_lm, paragraphs, quality_rules, repeated_strings, sequence_files, simhash, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op5_sequence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_files.digests(sequence_files.read(spark, folder))
 
 
+def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.report(documents(spark, sf_dir))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     items = F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256")
@@ -88,6 +92,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings.report(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(documents(spark, sf_dir))
 
@@ -98,7 +106,9 @@ QUERIES = {
     "op3_language_id": (op3_language_id, None),
     "op4_simhash": (op4_simhash, None),
     "op5_sequence_files": (op5_sequence_files, None),
+    "op6_paragraphs": (op6_paragraphs, None),
     "op7_decontamination": (op7_decontamination, OP7_SQL),
     "op8_token_counts": (op8_token_counts, None),
+    "op9_repeated_strings": (op9_repeated_strings, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }

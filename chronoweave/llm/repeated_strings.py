@@ -240,16 +240,18 @@ def repeated_positions(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, h long, first long, more long")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and ``h``, which tells rows of one id apart: a hash of the text, or zero where ids are unique."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``text`` and ``h``, which tells rows of one id apart (a hash of the text, or zero where ids are unique), of
+    all rows, and of one row for each document."""
     rows = common.texts_of(docs)
     twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    return rows.withColumn("h", common.text_hash(F.col("text")) if twice else F.lit(0).cast("long"))
+    rows = rows.withColumn("h", common.text_hash(F.col("text")) if twice else F.lit(0).cast("long"))
+    return rows, rows.dropDuplicates(["doc_id", "h"]) if twice else rows
 
 
 def repeated_ranges(rows: DataFrame) -> DataFrame:
     """``doc_id``, ``h`` and ``starts`` (array of first position, further positions) where strings start that also start
-    earlier. ``rows``: from :func:`keyed`."""
+    earlier. ``rows``: one for each document, from :func:`keyed`."""
     spark = rows.sparkSession
     judged = common.stored(sorted_out(stretch_rows(rows)), "stretches")
     common.release(spark)
@@ -281,8 +283,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
     ``LENGTH`` bytes lose nothing. An empty table gives an empty table. Other columns are not read.
     """
     common.ready(docs.sparkSession)
-    rows = keyed(docs)
-    ranges = repeated_ranges(rows).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "starts")
+    rows, documents = keyed(docs)
+    ranges = repeated_ranges(documents).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "starts")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, sizes, runs = [], [], []

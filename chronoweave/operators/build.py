@@ -142,11 +142,11 @@ def _fold_batches(batches):
             if accepted:
                 threshold = end
             flags.append(accepted)
-        yield pd.DataFrame({"id": pdf["id"], "__ok": flags})
+        yield pd.DataFrame({"__fact": pdf["__fact"], "id": pdf["id"], "__ok": flags})
 
 
 def _fold(rows: DataFrame, chunk_rows: int) -> DataFrame:
-    """id, __ok for the facts that need the sequential rule.
+    """__fact, id, __ok for the facts that need the sequential rule; an id may stand in several tenants.
 
     Facts are cut into chunks. The effect of each chunk on a threshold is worked out in parallel
     as a short step function; stringing those together gives every chunk its incoming threshold.
@@ -170,7 +170,7 @@ def _fold(rows: DataFrame, chunk_rows: int) -> DataFrame:
         ready.select("id", "__fact", "__k", "__n", "__s", "__e", "__in")
         .repartition("__fact", "__k")
         .sortWithinPartitions("__fact", "__k", "__n")
-        .mapInPandas(_fold_batches, f"id {id_type}, __ok boolean")
+        .mapInPandas(_fold_batches, f"__fact string, id {id_type}, __ok boolean")
     )
 
 
@@ -238,13 +238,15 @@ def build_versions(
         key_max={"__fixed": fixed},
         hot=hot,
     )
+    seen = cut_lineage(seen)  # read for the fold's chunks and steps, and for both kinds of facts
+    named = F.concat_ws("\u0000", F.col("organization_id").cast("string"), F.col("fact_id").cast("string")).alias("__fact")
     # Without fixed ends a refused claim never reaches past the accepted ones, so the running
     # maximum over all claims is the threshold. Facts with fixed ends take the sequential rule.
     fits = F.col("__s") >= F.greatest(F.coalesce("__before", F.lit(_LOW)), "__head")
     folded = _fold(
         seen.where("__fixed").select(
             "id",
-            F.concat_ws("\u0000", F.col("organization_id").cast("string"), F.col("fact_id").cast("string")).alias("__fact"),
+            named,
             "__n",
             "__s",
             "__e",
@@ -253,7 +255,7 @@ def build_versions(
         chunk_rows,
     )
     simple = seen.where(~F.col("__fixed")).withColumn("__ok", fits)
-    judged = simple.unionByName(seen.where("__fixed").join(folded, "id"))
+    judged = simple.unionByName(seen.where("__fixed").select("*", named).join(folded, ["__fact", "id"]).drop("__fact"))
     judged = cut_lineage(judged)  # three outputs and three scans start from here
     refuse(judged.where(~F.col("__ok")), "starts_before_latest_allows")
 

@@ -1,6 +1,6 @@
 """Checking batches of model outputs against the facts that were supplied. No model is called.
 
-A question is supplied with at most 50 facts, so its context is assembled from one small group.
+All facts a question is supplied with are rendered and can be cited; a search supplies at most 50.
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as sc
-from chronoweave.operators.retrieval import MAX_LIMIT
 
 MAX_VALUE_CHARS = 500  # fixed value: longer values are cut in the rendered context
 NO_FACTS = "(no facts)"
@@ -40,8 +39,7 @@ def fact_line() -> Column:
 def render_context(packed: DataFrame, questions: DataFrame) -> DataFrame:
     """``question_id, context, facts_supplied``: one line per fact in rank order."""
     lines = (
-        packed.where(F.col("position").between(1, MAX_LIMIT))
-        .select("question_id", "position", fact_line().alias("line"))
+        packed.select("question_id", "position", fact_line().alias("line"))
         .groupBy("question_id")
         .agg(F.array_sort(F.collect_list(F.struct("position", "line"))).alias("__l"))
         .select("question_id", F.array_join(F.col("__l.line"), "\n").alias("context"), F.size("__l").alias("facts_supplied"))
@@ -78,11 +76,7 @@ def parse_answers(outputs: DataFrame) -> DataFrame:
 
 def check_citations(answers: DataFrame, packed: DataFrame) -> DataFrame:
     """Status of each parsed answer, its valid labels in the model's order, and the invented ones."""
-    labels = (
-        packed.where(F.col("position").between(1, MAX_LIMIT))
-        .groupBy("question_id")
-        .agg(F.collect_set("label").alias("__labels"))
-    )
+    labels = packed.groupBy("question_id").agg(F.collect_set("label").alias("__labels"))
     a = answers.join(labels, "question_id", "left").withColumn(
         "__labels", F.coalesce("__labels", F.array().cast("array<string>"))
     )

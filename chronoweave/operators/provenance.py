@@ -220,9 +220,9 @@ def exists(nodes: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def pending(changes: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
-    """Per tenant how many changes are not processed yet."""
+    """Per tenant how many changes are not processed yet; keys are unique within a tenant."""
     return (
-        changes.join(done.select(key), key, "left_anti")
+        changes.join(done.select("organization_id", key), ["organization_id", key], "left_anti")
         .groupBy("organization_id")
         .agg(F.count(F.lit(1)).alias("pending_events"))
     )
@@ -236,38 +236,53 @@ def _decision_refs(decisions: DataFrame) -> DataFrame:
 
 
 def impact_of_version(version_ids: DataFrame, decisions: DataFrame, snapshot_facts: DataFrame, decision_facts: DataFrame) -> DataFrame:
-    """Decisions that relied on each version, or only had it in their context."""
-    asked = version_ids.select("organization_id", F.col("id").alias("fact_version_id"))
+    """Decisions that relied on each version, or only had it in their context.
+
+    Relying counts by itself: a version relied on without a row in the context is reported too.
+    """
+    asked = version_ids.select("organization_id", F.col("id").alias("fact_version_id")).distinct()
+    refs = _decision_refs(decisions)
     held = (
         snapshot_facts.select("organization_id", "snapshot_id", "fact_version_id")
         .join(asked, ["organization_id", "fact_version_id"], "left_semi")
-        .join(_decision_refs(decisions), ["organization_id", "snapshot_id"])
+        .join(refs, ["organization_id", "snapshot_id"])
+        .select(*refs.columns, "fact_version_id", F.lit(False).alias("__r"))
+    )
+    relied = (
+        decision_facts.select("organization_id", "decision_id", "fact_version_id")
+        .join(asked, ["organization_id", "fact_version_id"], "left_semi")
+        .join(refs, ["organization_id", "decision_id"])
+        .select(*refs.columns, "fact_version_id", F.lit(True).alias("__r"))
     )
-    relied = decision_facts.select("organization_id", "decision_id", "fact_version_id", F.lit(True).alias("__r"))
-    return held.join(relied, ["organization_id", "decision_id", "fact_version_id"], "left").select(
-        "organization_id", "fact_version_id",
-        F.when(F.col("__r").isNotNull(), "relied_on").otherwise("in_context").alias("via"),
-        "decision_id", "action", "decided_at",
+    return (
+        held.unionByName(relied)
+        .groupBy("organization_id", "fact_version_id", "decision_id", "action", "decided_at")
+        .agg(F.when(F.max("__r"), "relied_on").otherwise("in_context").alias("via"))
+        .select("organization_id", "fact_version_id", "via", "decision_id", "action", "decided_at")
     )
 
 
-def superseded_by(versions: DataFrame, version_ids: DataFrame) -> DataFrame:
-    """All later versions of each asked version: its chain is linear, so they are the higher numbers.
+def superseded_range(versions: DataFrame, version_ids: DataFrame) -> DataFrame:
+    """``first_later..last_later``: the numbers of the versions that replaced each asked one, one row each.
 
-    ``first_later..last_later`` says the same without listing; ask for few versions of one fact.
+    A chain is linear, so these are all the higher numbers; versions that nothing replaced are left out.
     """
-    asked = version_ids.select("organization_id", F.col("id").alias("subject_id"))
+    asked = version_ids.select("organization_id", F.col("id").alias("subject_id")).distinct()
     subject = versions.select("organization_id", F.col("id").alias("subject_id"), "fact_id", F.col("version").alias("__v")).join(
         asked, ["organization_id", "subject_id"], "left_semi"
     )
-    last = versions.groupBy(*FACT).agg(F.max("version").alias("__last"))
-    later = (
-        subject.join(last, FACT)
-        .where(F.col("__last") > F.col("__v"))
-        .withColumn("version", F.explode(F.sequence(F.col("__v") + 1, F.col("__last"))))
+    last = versions.groupBy(*FACT).agg(F.max("version").alias("last_later"))
+    return subject.join(last, FACT).where(F.col("last_later") > F.col("__v")).select(
+        "organization_id", "subject_id", "fact_id", (F.col("__v") + 1).alias("first_later"), "last_later"
     )
-    return later.join(versions.select(*FACT, "version", "id"), [*FACT, "version"]).select(
-        "organization_id", "subject_id", "fact_id", F.col("id").alias("later_id"), F.col("version").alias("later_version")
+
+
+def superseded_by(versions: DataFrame, version_ids: DataFrame) -> DataFrame:
+    """The rows behind :func:`superseded_range`, one per asked and later version; ask for few versions of one fact."""
+    spans = superseded_range(versions, version_ids)
+    later = versions.select(*FACT, F.col("version").alias("later_version"), F.col("id").alias("later_id"))
+    return spans.join(later, FACT).where(F.col("later_version") >= F.col("first_later")).select(
+        "organization_id", "subject_id", "fact_id", "later_id", "later_version"
     )
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +51,7 @@ def _best(
         step = max(1, BLOCK_CELLS // len(part))
         for at in range(0, len(asked), step):
             some = asked.iloc[at : at + step]
-            distance = 1.0 - vectors @ _unit(some["vector"]).T
+            distance = np.round(1.0 - vectors @ _unit(some["vector"]).T, 12)
             if mask is not None:
                 distance = np.where(mask(part, some), distance, np.inf)
             for j in range(len(some)):
@@ -81,15 +82,14 @@ def nearest_blocks(
     group: list[str],
     dims: int,
     mask: Mask | None = None,
-    max_pool: int = 200,
     question_bytes: int = QUESTION_BYTES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(question_id, id, distance, rank): the ``pool`` nearest rows of the same group per question.
 
     ``rows``: ``id, embedding``, the group columns and what ``mask`` reads; ``questions``:
-    ``question_id, vector, pool``, the group columns and what ``mask`` reads. No pool exceeds
-    ``max_pool``.
+    ``question_id, vector, pool``, the group columns and what ``mask`` reads. Distances are rounded to
+    twelve places, so equal vectors tie whatever blocks they were computed in; ties go by id.
     """
     spark = rows.sparkSession
     id_type = rows.schema["id"].dataType.simpleString()
@@ -121,35 +121,31 @@ def nearest_blocks(
             .applyInPandas(lambda left, right: _best(left, right, group, mask), schema)
         )
     pools = questions.groupBy("question_id").agg(F.max("pool").alias("__pool"))
-    top = keep_top(local, ["question_id"], [F.col("distance"), F.col("id")], max_pool, "rank")
+    largest = pools.agg(F.max("__pool")).first()[0] or 0
+    top = keep_top(local, ["question_id"], [F.col("distance"), F.col("id")], largest, "rank")
     return top.join(pools, "question_id").where(F.col("rank") <= F.col("__pool")).drop("__pool")
 
 
 def nearest(rows: DataFrame, questions: DataFrame, n: int, dims: int, group: list[str]) -> DataFrame:
     """The n nearest rows of the same tenant and model."""
-    return nearest_blocks(rows, questions.withColumn("pool", F.lit(n)), group=group, dims=dims, max_pool=n)
+    return nearest_blocks(rows, questions.withColumn("pool", F.lit(n)), group=group, dims=dims)
 
 
 # --- inverted lists ----------------------------------------------------------------------------
 
-MAX_LISTS = 65_536  # bounds the centroid matrix every task receives
+MAX_LISTS = 16_384  # bounds the centroid matrix every task receives: 200 MB at 1,536 dimensions
 
 
-def ivf_fit(rows: DataFrame, lists: int, *, per_list: int = 256, seed: int = 7, iterations: int = 10) -> np.ndarray:
-    """Centroids of ``lists`` clusters (at most MAX_LISTS), trained on up to ``per_list`` vectors each.
-
-    Only the training is sampled; every vector is assigned to a list and searched.
-    """
+def ivf_fit(rows: DataFrame, lists: int, *, seed: int = 7, iterations: int = 10) -> np.ndarray:
+    """Centroids of ``lists`` clusters, trained on all rows. More than MAX_LISTS are refused."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    lists = min(lists, MAX_LISTS)
-    total = rows.count()
-    fraction = min(1.0, per_list * lists / max(1, total))
-    train = rows if fraction >= 1.0 else rows.sample(fraction=fraction, seed=seed)
+    if lists > MAX_LISTS:
+        raise ValueError(f"{lists} lists; at most {MAX_LISTS} are supported")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     unit = F.transform("embedding", lambda x: x.cast("double") / norm)
-    data = train.select(array_to_vector(unit).alias("features")).persist()  # at most per_list * lists rows
+    data = rows.select(array_to_vector(unit).alias("features")).persist(StorageLevel.DISK_ONLY)  # read once per iteration
     try:
         model = KMeans(k=lists, seed=seed, maxIter=iterations).fit(data)
     finally:
@@ -160,9 +156,12 @@ def ivf_fit(rows: DataFrame, lists: int, *, per_list: int = 256, seed: int = 7,
 def _ranked_lists(vectors: Column, centroids, probes: int) -> Column:
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def choose(v: pd.Series) -> pd.Series:
-        distance = 1.0 - _unit(v) @ centroids.value.T
-        order = np.argsort(distance, axis=1, kind="stable")[:, :probes]
-        return pd.Series(list(order.astype(np.int32)))
+        out = []
+        step = max(1, BLOCK_CELLS // len(centroids.value))
+        for at in range(0, len(v), step):
+            distance = np.round(1.0 - _unit(v.iloc[at : at + step]) @ centroids.value.T, 12)
+            out += list(np.argsort(distance, axis=1, kind="stable")[:, :probes].astype(np.int32))
+        return pd.Series(out)
 
     return choose(vectors)
 
@@ -184,7 +183,7 @@ def ivf_search(
     probing = questions.withColumn(
         "list", F.explode(_ranked_lists(F.col("vector"), shared, min(probes, len(centroids))))
     ).withColumn("pool", F.lit(n))
-    return nearest_blocks(assigned, probing, group=["list"], dims=dims, max_pool=n)
+    return nearest_blocks(assigned, probing, group=["list"], dims=dims)
 
 
 def ann_recall(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:

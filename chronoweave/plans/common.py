@@ -143,17 +143,15 @@ dec as (
  from orders o join (select user_id, row_number() over (order by user_id) - 1 as i, count(*) over () as n
   from (select distinct user_id from events) q) u on o.o_custkey % u.n = u.i)""",
     "snap": """
-snap as (
- select * from (
+snap as materialized (
+ select *, position <= 1 + snapshot_id % 2 as relied_on from (
   select d.organization_id, d.snapshot_id, l.id as fact_version_id, l.property,
    row_number() over (partition by d.id order by l.authority * l.confidence desc, l.id) as position
   from dec d join led l on l.user_id = d.user_id and l.recorded_at <= d.decided_at and l.valid_from <= d.decided_at
    and (l.valid_until is null or l.valid_until_recorded_at > d.decided_at or l.valid_until > d.decided_at)
-  left join revs r on r.fact_version_id = l.id and r.revoked_at <= d.decided_at where r.fact_version_id is null) q
- where position <= 50)""",
+  left join revs r on r.fact_version_id = l.id and r.revoked_at <= d.decided_at where r.fact_version_id is null) q)""",
     "relied": """
-relied as (select organization_id, snapshot_id as decision_id, snapshot_id, fact_version_id from snap
- where position <= 1 + snapshot_id % 2)""",
+relied as (select organization_id, snapshot_id as decision_id, snapshot_id, fact_version_id from snap where relied_on)""",
     "src": """
 src as (
  select i % 4 as organization_id, i // 4 as id, 'source-' || (i // 4) as name,

@@ -6,13 +6,13 @@ maps to; documents are evidence. The derivation uses the package's own skew-safe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as sc
 from chronoweave.ledger import Ledger
 from chronoweave.operators.build import assign_recorded_at
-from chronoweave.operators.ordered import HOT_ROWS, chunked_scan, keep_top, time_chunk, with_neighbours
+from chronoweave.operators.ordered import HOT_ROWS, chunked_scan, time_chunk, with_neighbours
 from chronoweave.operators.temporal import facts_at
 from chronoweave.session import prepare
 
@@ -157,7 +157,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_facts(
     led: DataFrame, revs: DataFrame, dec: DataFrame, *, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """The facts of the decision's user valid and known at the decision, best 50 by trust."""
+    """The facts of the decision's user valid and known at the decision, in the order of trust."""
     asks = dec.select(
         F.col("id").alias("ask_id"),
         "organization_id",
@@ -168,7 +168,8 @@ def snapshot_facts(
     )
     held = facts_at(led, asks, revs, same_instant=True, hot_rows=hot_rows)
     trust = F.col("authority") * F.col("confidence")
-    return keep_top(held, ["ask_id"], [trust.desc(), F.col("id")], 50, "position").select(
+    place = F.row_number().over(Window.partitionBy("ask_id").orderBy(trust.desc(), "id"))  # one decision's context
+    return held.withColumn("position", place).select(
         "organization_id",
         F.col("ask_id").alias("snapshot_id"),
         F.col("id").alias("fact_version_id"),

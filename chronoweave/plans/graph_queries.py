@@ -203,7 +203,7 @@ def _projected(s, d):
 def _pending(s, d):
     """Versions published up to the middle of the month are done."""
     changes = led(s, d).select("organization_id", "id")
-    done = led(s, d).where(F.col("recorded_at") <= F.lit("2024-01-15").cast("timestamp")).select("id")
+    done = led(s, d).where(F.col("recorded_at") <= F.lit("2024-01-15").cast("timestamp")).select("organization_id", "id")
     return pg.pending(changes, done)
 
 
@@ -282,13 +282,12 @@ QUERIES = {
     "dr6_receipt_facts": (
         _receipt_facts,
         sql(
-            f"""select s.snapshot_id as decision_id, s.position, s.fact_version_id, r.decision_id is not null as relied_on, l.privacy_scope = 'RESTRICTED' as redacted,
+            f"""select s.snapshot_id as decision_id, s.position, s.fact_version_id, s.relied_on, l.privacy_scope = 'RESTRICTED' as redacted,
  case when l.privacy_scope <> 'RESTRICTED' then l.property end as property, case when l.privacy_scope <> 'RESTRICTED' then l.value end as value,
  case when l.privacy_scope <> 'RESTRICTED' then 'source-' || l.source_id end as source_name,
  case when l.privacy_scope <> 'RESTRICTED' and l.valid_until_recorded_at <= d.decided_at then {t('l.valid_until')} end as valid_until,
  case when l.privacy_scope <> 'RESTRICTED' then {t('v.revoked_at')} end as revoked_at
- from snap s join led l on l.id = s.fact_version_id join dec d on d.id = s.snapshot_id
- left join relied r on r.decision_id = s.snapshot_id and r.fact_version_id = s.fact_version_id left join revs v on v.fact_version_id = l.id""",
+ from snap s join led l on l.id = s.fact_version_id join dec d on d.id = s.snapshot_id left join revs v on v.fact_version_id = l.id""",
             "relied", "revs",
         ),
     ),
@@ -349,8 +348,14 @@ union all select organization_id, count(*), 'decision_facts' from relied group b
     "pg7_impact_of_versions": (
         _impact_version,
         sql(
-            """select s.fact_version_id, case when r.decision_id is null then 'in_context' else 'relied_on' end as via, s.snapshot_id as decision_id
- from snap s left join relied r on r.decision_id = s.snapshot_id and r.fact_version_id = s.fact_version_id""", "relied",
+            "select fact_version_id, case when relied_on then 'relied_on' else 'in_context' end as via, snapshot_id as decision_id from snap", "snap",
+        ),
+    ),
+    "pg8_superseded_range": (
+        lambda s, d: pg.superseded_range(led(s, d), _ids(led(s, d))).select("subject_id", "first_later", "last_later"),
+        sql(
+            """select id as subject_id, version + 1 as first_later, last as last_later
+ from (select *, max(version) over (partition by fact_id) as last from led) where version < last""", "led",
         ),
     ),
     "pg8_superseded_by": (

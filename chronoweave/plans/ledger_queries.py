@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as sc
@@ -240,11 +241,11 @@ _CONF_SQL = f"id, left_version_id, right_version_id, preferred_version_id, priva
 
 def _findings(s, d):
     """Labelled current facts of every user, with findings between neighbouring labels."""
-    from chronoweave.operators.ordered import keep_top
     from chronoweave.operators.temporal import latest_versions
 
     v = latest_versions(led(s, d)).withColumn("review_id", F.col("external_id"))
-    labelled = keep_top(v, ["review_id"], [F.col("property")], 50, "n").withColumn("label", F.concat(F.lit("F"), F.col("n").cast("string")))
+    place = F.row_number().over(Window.partitionBy("review_id").orderBy("property"))  # one review's facts
+    labelled = v.withColumn("n", place).withColumn("label", F.concat(F.lit("F"), F.col("n").cast("string")))
     f = labelled.select(
         "review_id", F.col("label").alias("left_label"),
         F.explode(F.array(F.concat(F.lit("F"), (F.col("n") + 1).cast("string")), F.col("label"))).alias("right_label"),
@@ -600,9 +601,8 @@ select c.id, 'unknown_evidence' as reason from claims c, n
     "lb16_impact_rows": (
         lambda s, d: _impacts(s, d).select("revocation_id", "decision_id", "fact_version_id", "relied_on"),
         sql(
-            """select r.id as revocation_id, d.id as decision_id, r.fact_version_id, rl.decision_id is not null as relied_on from revs r
- join snap s on s.fact_version_id = r.fact_version_id join dec d on d.snapshot_id = s.snapshot_id and d.decided_at <= r.revoked_at
- left join relied rl on rl.decision_id = d.id and rl.fact_version_id = r.fact_version_id""", "relied", "revs",
+            """select r.id as revocation_id, d.id as decision_id, r.fact_version_id, s.relied_on from revs r
+ join snap s on s.fact_version_id = r.fact_version_id join dec d on d.snapshot_id = s.snapshot_id and d.decided_at <= r.revoked_at""", "snap", "revs",
         ),
     ),
     "lb17_apply_resolutions": (

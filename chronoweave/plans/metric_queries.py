@@ -47,9 +47,8 @@ def _cases(s, d):
         "question_id", "organization_id", "external_id", *[F.col(c).alias(f"q_{c}") for c in rt._ASK_SIDE]
     )
     seen = rows.join(asks, ["organization_id", "external_id"]).where(rt.eligible_pair())
-    few = keep_top(seen, ["question_id"], [F.col("id")], 50, "k")
     key = F.col("id").cast("string")
-    per = few.groupBy("question_id").agg(
+    per = seen.groupBy("question_id").agg(
         F.collect_list(F.when(F.col("source_id") < 3, key)).alias("relevant"),
         F.map_from_entries(F.collect_list(F.when(F.col("source_id") >= 3, F.struct(key, F.when(F.col("source_id") == 3, "revoked").otherwise("privacy"))))).alias("forbidden"),
     )

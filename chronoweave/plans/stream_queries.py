@@ -129,16 +129,16 @@ def _stream_dedup(s, d):
 
 
 def _stream_versions(s, d):
-    """Claims arrive in three files by arrival time; versions are built batch by batch."""
+    """Claims arrive in three drops by arrival time; versions are built drop by drop."""
     def build():
         prefix = _fresh_folder(s, "claims")
         claims = fx.claims(s, d)
+        store = VersionStore(f"{prefix}/out")
         for lo, hi in (("1970-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
             part = claims.where((F.col("arrival") >= F.lit(lo).cast("timestamp")) & (F.col("arrival") < F.lit(hi).cast("timestamp")))
-            part.coalesce(1).write.mode("append").parquet(f"{prefix}/in")
-        store = VersionStore(f"{prefix}/out")
-        stream = s.readStream.schema(claims.schema).option("maxFilesPerTrigger", 1).parquet(f"{prefix}/in")
-        stream_versions(stream, store, f"{prefix}/ckpt").awaitTermination()
+            part.write.mode("append").parquet(f"{prefix}/in")
+            stream = s.readStream.schema(claims.schema).parquet(f"{prefix}/in")
+            stream_versions(stream, store, f"{prefix}/ckpt").awaitTermination()
         kinds = lambda name, *cols: store.read(s, name).select(*cols)
         v = kinds("versions", "organization_id", "id", "fact_id", "version", "valid_until", "recorded_at", "valid_until_recorded_at", "supersedes_id")
         c = kinds("closures", "organization_id", "fact_version_id", "valid_until", "recorded_at")

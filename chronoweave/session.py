@@ -60,10 +60,13 @@ def local_session(cpus: int = 8, app: str = "chronoweave") -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only where none is set (tests)."""
+    """The shared folder the cluster names; a scratch folder only where none is set on a local master (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="chronoweave-ckpt-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder

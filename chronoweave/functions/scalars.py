@@ -198,11 +198,6 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1)
 
 
-def metric_column(metric: Column) -> Column:
-    """recall@5 becomes recall_at_5; other names stay."""
-    return F.regexp_replace(metric, r"^(recall|precision|ndcg)@(\d+)$", "$1_at_$2")
-
-
 def run_id(date: Column, commit: Column) -> Column:
     stamp = F.substring(F.regexp_replace(date, "[^0-9T]", ""), 1, 15)
     return F.concat(stamp, F.lit("-"), F.substring(commit, 1, 8))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TS = "timestamp"
@@ -86,11 +87,31 @@ class Ledger:
         return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
 
 
-def tenant_scoped(ledger: Ledger, organization_ids) -> Ledger:
-    """Restrict every table to the given tenants (prunes partitions when stored by tenant)."""
-    return Ledger(
-        **{n: t.where(F.col("organization_id").isin(list(organization_ids))) for n, t in ledger.tables().items()}
-    )
+ORG_BUCKETS = 64
+
+
+def org_bucket(organization_id: Column | None = None, buckets: int = ORG_BUCKETS) -> Column:
+    """The bucket a tenant's rows are stored in."""
+    return F.pmod(F.xxhash64(F.col("organization_id") if organization_id is None else organization_id), F.lit(buckets)).cast("int")
+
+
+def tenant_scoped(ledger: Ledger, organization_ids, *, buckets: int = ORG_BUCKETS) -> Ledger:
+    """Restrict every table to the given tenants.
+
+    Of tables stored by tenant bucket only the folders of these tenants are read: their buckets are
+    constants to the optimiser.
+    """
+    ids = list(organization_ids)
+
+    def restrict(t: DataFrame) -> DataFrame:
+        mine = F.col("organization_id").isin(ids)
+        if "org_bucket" in t.columns and ids:
+            kind = t.schema["organization_id"].dataType
+            own = [F.col("org_bucket") == org_bucket(F.lit(i).cast(kind), buckets) for i in ids]
+            mine = reduce(lambda a, b: a | b, own) & mine
+        return t.where(mine)
+
+    return Ledger(**{n: restrict(t) for n, t in ledger.tables().items()})
 
 
 def with_closures(base: DataFrame, closures: DataFrame) -> DataFrame:

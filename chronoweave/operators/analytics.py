@@ -77,7 +77,7 @@ def mrr_by_category(cases: DataFrame) -> DataFrame:
         .groupBy("configuration", "category")
         .agg(
             F.count(F.lit(1)).alias("cases"), F.round(F.avg("reciprocal_rank"), 4).alias("mrr"),
-            F.round(F.percentile_approx("latency_ms", 0.5), 2).alias("latency_ms_p50"),
+            F.round(F.expr("percentile_disc(0.5) within group (order by latency_ms)"), 2).alias("latency_ms_p50"),
         )
     )
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +11,7 @@ from pyspark.sql import types as T
 from chronoweave.functions import scalars as sc
 from chronoweave.functions.stemming import search_tokens
 
+SCATTER_ROWS = 1000  # rows of dense vectors a task holds at once
 HASH_MODEL = "deterministic:hash-v1"  # fixed value: stored with every embedding of this kind
 
 
@@ -56,35 +54,37 @@ def render_documents(versions: DataFrame) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=500_000)
-def _bucket(feature: str) -> tuple[int, float]:
-    digest = hashlib.sha256(feature.encode()).digest()
-    return int.from_bytes(digest[:4], "big"), 1.0 if digest[4] & 1 else -1.0
-
-
 def hash_embed(tokens: Column, dims: int) -> Column:
-    """Signed feature hashing of words and word pairs into ``dims`` numbers of unit length."""
+    """Signed feature hashing of words and word pairs into ``dims`` numbers of unit length.
+
+    Places and signs come from :func:`hash_features` in the JVM; a task adds them up for a block of rows
+    at once. A row without features is the first unit vector (a fixed value: stored vectors have it so).
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(words: pd.Series) -> pd.Series:
-        out = []
-        for row in words:
-            row = list(row)
-            vector = np.zeros(dims)
-            for feature in row + [f"{a} {b}" for a, b in zip(row, row[1:])]:
-                slot, sign = _bucket(feature)
-                vector[slot % dims] += sign
-            norm = np.sqrt((vector * vector).sum())
-            if norm == 0.0:
-                vector[0] = norm = 1.0
-            out.append((vector / norm).astype(np.float32))
+    def scatter(slots: pd.Series, signs: pd.Series) -> pd.Series:
+        out: list[np.ndarray] = []
+        for at in range(0, len(slots), SCATTER_ROWS):
+            places, ones = slots.iloc[at : at + SCATTER_ROWS], signs.iloc[at : at + SCATTER_ROWS]
+            block = np.zeros((len(places), dims))
+            rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
+            if len(rows):
+                np.add.at(block, (rows, np.concatenate(places.tolist()).astype(np.int64)), np.concatenate(ones.tolist()))
+            length = np.linalg.norm(block, axis=1)
+            block[length == 0, 0] = 1.0
+            out += list((block / np.where(length == 0, 1.0, length)[:, None]).astype(np.float32))
         return pd.Series(out)
 
-    return embed(tokens)
+    features = hash_features(tokens, dims)
+    return scatter(F.transform(features, lambda f: f["slot"]), F.transform(features, lambda f: f["sign"]))
 
 
 def hash_features(tokens: Column, dims: int) -> Column:
-    """The same hashing as (slot, sign) pairs, JVM-side, for sparse use."""
+    """Places and signs of words and word pairs, JVM-side.
+
+    Fixed values, as stored vectors have them: SHA-256, the slot from its first four bytes, the sign from
+    the lowest bit of the fifth.
+    """
     pairs = F.when(
         F.size(tokens) > 1,
         F.zip_with(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.privacy import scope_ordinal, visible
-from chronoweave.operators.ordered import HOT_ROWS, asof_ranks
+from chronoweave.operators.ordered import CHUNK_ROWS, HOT_ROWS, asof_ranks, chunked_scan
 
 FACT = ["organization_id", "fact_id"]
 ENTITY = ["organization_id", "entity_type", "external_id"]
@@ -209,16 +209,22 @@ def transitions_of(versions: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def hide_partial_changes(versions: DataFrame, changes: DataFrame, ceiling: str) -> DataFrame:
-    """Drop a change when any version it mentions is above the ceiling."""
-    hidden = (
-        transitions_of(versions, changes)
-        .where(~visible("privacy_scope", ceiling))
-        .select("ask_id", *FACT)
-        .distinct()
-    )
+    """Drop a change when any version it mentions is above the ceiling.
+
+    A running count of such versions along each fact says so from the two ends of a change: nothing in
+    between is listed.
+    """
+    above = F.when(visible("privacy_scope", ceiling), 0).otherwise(1)
+    counted = chunked_scan(
+        versions.select(*FACT, "version", "privacy_scope"), FACT, F.floor(F.col("version") / F.lit(CHUNK_ROWS)), [F.col("version")],
+        running_sum={"__above": above},
+    )
+    upto = counted.select(*FACT, F.col("version").cast("int").alias("last_transition"), F.col("__above").alias("__upto"))
+    before = counted.select(*FACT, (F.col("version") + 1).cast("int").alias("first_transition"), F.col("__above").alias("__before"))
     limit = ["PUBLIC", "INTERNAL", "CONFIDENTIAL", "RESTRICTED"].index(ceiling)
     sides = (F.coalesce("before_scope", F.lit(0)) <= limit) & (F.coalesce("after_scope", F.lit(0)) <= limit)
-    return changes.where(sides).join(hidden, ["ask_id", *FACT], "left_anti")
+    ends = changes.where(sides).join(upto, [*FACT, "last_transition"], "left").join(before, [*FACT, "first_transition"], "left")
+    return ends.where(F.coalesce("__upto", F.lit(0)) == F.coalesce("__before", F.lit(0))).select(*changes.columns)
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:

@@ -299,6 +299,12 @@ QUERIES = {
  where l.privacy_scope <> 'RESTRICTED' and e.privacy_scope <> 'RESTRICTED' and k.linked_at <= d.decided_at""", "relied", "links",
         ),
     ),
+    "dr6_receipts": (
+        lambda s, d: dr.receipts(_sealed(s, d), snapshots(s, d), snap(s, d), relied(s, d), led(s, d), src(s, d))[0].select(
+            "organization_id", "id", "snapshot_id", "action", "query", "vector_search", "integrity_verified"
+        ),
+        sql("select organization_id, id, snapshot_id, case when id % 7 = 0 then 'order.refuse' else action end as action, 'facts of user ' || user_id as query, 'unavailable' as vector_search, id % 7 <> 0 as integrity_verified from dec", "dec"),
+    ),
     "dr7_verify_receipts": (_verify, sql("select id, id % 7 <> 0 as integrity_verified from dec", "dec")),
     "dr8_decisions_relying_on": (
         lambda s, d: flat(dr.decisions_relying_on(dec(s, d), relied(s, d), revs(s, d).select("organization_id", "id"))

@@ -33,6 +33,13 @@ def _built(claims):
     )
 
 
+def _built_for_two(s, d):
+    """The same claims, ids and all, made in two sets of tenants."""
+    claims = _fixed_claims(s, d)
+    twice = claims.unionByName(claims.withColumn("organization_id", F.col("organization_id") + 4))
+    return flat(build.build_versions(twice).versions.select("organization_id", "id", "version", "supersedes_id", "recorded_at", "valid_until"))
+
+
 _PLAN = f"""
 with oc as (select *, row_number() over (partition by fact_id order by arrival, id) as n,
   max(valid_from) over (partition by fact_id order by arrival, id rows between unbounded preceding and 1 preceding) as before from claims),
@@ -543,6 +550,14 @@ def _limits(s, d):
 QUERIES = {
     "lb1_build_versions": (lambda s, d: _built(fx.claims(s, d)), sql(_PLAN + _BUILT, "claims")),
     "lb1_build_versions_fixed_ends": (lambda s, d: _built(_fixed_claims(s, d)), sql(_FOLD + _BUILT, "claims", recursive=True)),
+    "lb1_build_versions_two_tenants": (
+        _built_for_two,
+        sql(
+            _FOLD + f"""
+select organization_id + 4 * k.k as organization_id, id, version, supersedes_id, {t('recorded_at')} as recorded_at, {t('valid_until')} as valid_until
+ from built, (select 0 as k union all select 1) k""", "claims", recursive=True,
+        ),
+    ),
     "lb1_rejected_claims": (
         _rejects,
         sql(_FOLD + "\nselect id, 'starts_before_latest_allows' as reason from fold where not ok", "claims", recursive=True),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chronoweave.functions.privacy import max_scope, visible_ordinal, visible
+from chronoweave.ledger import empty, tenant_scoped
 from chronoweave.operators import access, temporal as tq
 from chronoweave.plans import fixtures as fx
 from chronoweave.plans.common import dec, flat, led, ordinal, revs, sql, t
+from chronoweave.session import checkpoint_root
+from chronoweave.sources.ledger_io import append_closures, append_versions, load_ledger
 
 T_TEXT, K_TEXT = "2024-01-15 00:00:00", "2024-01-16 00:00:00"
 T = lambda: F.lit(T_TEXT).cast("timestamp")
@@ -192,7 +197,56 @@ def _scopes(s, d):
     return r.select("request_id", visible_ordinal(F.col("role"), cap).alias("ceiling"))
 
 
+def _stored_ledger(s, d):
+    """Versions without their later ends, and the closings, appended in the stored layout; loaded for two tenants."""
+    folder = f"{checkpoint_root(s)}/chronoweave/{s.sparkContext.applicationId}/ledger-{uuid.uuid4().hex}"
+    kinds = {f.name: f.dataType for f in empty(s, "versions").schema.fields}
+    rows = led(s, d).select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
+    none = F.lit(None).cast("timestamp")
+    append_versions(rows.withColumns({"valid_until": none, "valid_until_recorded_at": none}), folder)
+    append_closures(
+        rows.where("valid_until is not null").select(
+            "organization_id", F.col("id").alias("fact_version_id"), "valid_until", F.col("valid_until_recorded_at").alias("recorded_at")
+        ), folder,
+    )
+    return tenant_scoped(load_ledger(s, folder), ["1", "2"])
+
+
+def _loaded(s, d):
+    v = _stored_ledger(s, d).versions
+    return flat(v.select("organization_id", "id", "fact_id", "version", "valid_until", "valid_until_recorded_at", "supersedes_id"))
+
+
+def _loaded_facts(s, d):
+    """A question to the loaded tenants: what was valid at the instant, by latest knowledge."""
+    return flat(tq.facts_at_instant(_stored_ledger(s, d).versions, T(), None, None).select("id", "fact_id", "version", "valid_until"))
+
+
 QUERIES = {
+    "io1_load_two_tenants": (
+        _loaded,
+        sql(
+            f"""select cast(organization_id as varchar) as organization_id, cast(id as varchar) as id, fact_id, version, {t('valid_until')} as valid_until,
+ {t('valid_until_recorded_at')} as valid_until_recorded_at, cast(supersedes_id as varchar) as supersedes_id from led where organization_id in (1, 2)""", "led",
+        ),
+    ),
+    "pv3_tenant_facts_from_store": (
+        _loaded_facts,
+        sql(
+            f"""select cast(id as varchar) as id, fact_id, version, {t('valid_until')} as valid_until from led where organization_id in (1, 2)
+ and valid_from <= TIMESTAMP '{T_TEXT}' and (valid_until is null or valid_until > TIMESTAMP '{T_TEXT}')""", "led",
+        ),
+    ),
+    "tq11_versions_by_id": (
+        lambda s, d: flat(
+            tq.versions_by_id(led(s, d), revs(s, d).select("organization_id", F.col("fact_version_id").alias("id")))
+            .select("organization_id", "id", "fact_id", "version", "value", "valid_from", "recorded_at")
+        ),
+        sql(
+            f"""select organization_id, id, fact_id, version, value, {t('valid_from')} as valid_from, {t('recorded_at')} as recorded_at from led
+ where id in (select fact_version_id from revs)""", "revs",
+        ),
+    ),
     "io1_ledger_versions": (
         lambda s, d: _row(led(s, d)),
         sql(f"select {_ROW}, {t('valid_until')} as valid_until, {t('valid_until_recorded_at')} as valid_until_recorded_at from led", "led"),

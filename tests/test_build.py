@@ -180,3 +180,17 @@ def test_revocations_first_wins(spark):
     assert {r.id: r.problem for r in refused.collect()} == {
         "a": "already_revoked", "c": "bad_reason", "d": "fact_not_found", "e": "version_not_found"
     }
+
+
+@pytest.mark.parametrize("chunk_rows", [4, 4096])
+def test_tenants_may_use_the_same_claim_ids(spark, chunk_rows):
+    claims = [c for c in random_claims(6, 80)]
+    twice = claims + [("q", *c[1:]) for c in claims]
+    built = build.build_versions(spark.createDataFrame(twice, CLAIM), hot_rows=10, chunk_rows=chunk_rows)
+    rows = built.versions.collect()
+    mine = lambda org: sorted((r.id, r.version, str(r.valid_until), str(r.recorded_at), r.supersedes_id) for r in rows if r.organization_id == org)
+    alone = build.build_versions(spark.createDataFrame(claims, CLAIM)).versions.collect()
+    want = sorted((r.id, r.version, str(r.valid_until), str(r.recorded_at), r.supersedes_id) for r in alone)
+    assert mine("o") == mine("q") == want
+    refused = built.rejects.collect()
+    assert len(rows) + len(refused) == len(twice)

@@ -42,18 +42,23 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return w.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", F.slice("w", F.col("at"), size).alias("window")).distinct()
 
 
-def rarity(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``word``, ``n``: how often each word of ``vocabulary`` occurs in all documents."""
+def rarity(docs: DataFrame, vocabulary: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
+    """``word``, ``n``: how often each word of ``vocabulary`` (stored, distinct) occurs in all documents; counted in the tasks,
+    which are sent the vocabulary in blocks of bounded size."""
+    total = vocabulary.agg(F.sum(F.octet_length("word") + 32)).first()[0] or 0
+    n = max(1, int(-(-total // limit)))
     occurring = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    return occurring.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    parts = [vocabulary.filter(F.pmod(F.xxhash64("word"), F.lit(n)) == k) if n > 1 else vocabulary for k in range(n)]
+    counted = [occurring.join(F.broadcast(part), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n")) for part in parts]
+    return reduce(DataFrame.unionByName, counted)
 
 
-def prefix_index(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+def prefix_index(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
     """``word``, ``window``, ``offset`` (0-based place of the word), ``item_ids`` of every distinct window, by its rarest word
     (the first of equally rare ones)."""
     grams = windows(items, size).groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    vocabulary = grams.select(F.explode("window").alias("word")).distinct()
-    counts = rarity(docs, vocabulary)
+    vocabulary = common.stored(grams.select(F.explode("window").alias("word")).distinct(), "benchmark-words")
+    counts = rarity(docs, vocabulary, limit)
     placed = grams.select("window", "item_ids", F.posexplode("window").alias("offset", "word"))
     ranked = placed.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     first = F.min(F.struct("n", "offset", "word", "item_ids")).alias("first")
@@ -112,7 +117,7 @@ def verdicts(docs: DataFrame, items: DataFrame, size: int = WINDOW, limit: int =
     """
     common.ready(docs.sparkSession)
     rows = common.texts_of(docs)
-    index = common.stored(prefix_index(rows, items, size), "benchmark-index")
+    index = common.stored(prefix_index(rows, items, size, limit), "benchmark-index")
     all_hits = common.stored(hits(rows, index, limit), "benchmark-hits")
     key = ["doc_id", "h"]
     documents = all_hits.filter("start is null").groupBy(*key).agg(F.max("n_words").cast("long").alias("n_words"), F.count(F.lit(1)).alias("_rows"))

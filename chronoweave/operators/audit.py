@@ -215,21 +215,45 @@ def tenants_without_admin(memberships: DataFrame) -> DataFrame:
     return _flag(counts.where("admins = 0"), "no_admin", "organization_id")
 
 
+#: Every reference between ledger tables: child, its column, parent (by ``id``), the rule it breaks, and the key to report.
+REFERENCES = (
+    ("versions", "source_id", "sources", "unknown_source", ("organization_id", "id")),
+    ("versions", "supersedes_id", "versions", "supersedes_unknown_version", ("organization_id", "id")),
+    ("evidence", "source_id", "sources", "evidence_of_unknown_source", ("organization_id", "id")),
+    ("links", "fact_version_id", "versions", "link_to_unknown_version", ()),
+    ("links", "evidence_id", "evidence", "link_to_unknown_evidence", ()),
+    ("embeddings", "fact_version_id", "versions", "embedding_of_unknown_version", ()),
+    ("snapshot_facts", "fact_version_id", "versions", "snapshot_of_unknown_version", ()),
+    ("snapshot_facts", "snapshot_id", "snapshots", "fact_of_unknown_snapshot", ()),
+    ("decisions", "snapshot_id", "snapshots", "decision_on_unknown_snapshot", ("organization_id", "id")),
+    ("decision_facts", "decision_id", "decisions", "citation_of_unknown_decision", ()),
+    ("decision_facts", "fact_version_id", "versions", "citation_of_unknown_version", ()),
+    ("revocations", "fact_version_id", "versions", "revocation_of_unknown_version", ("organization_id", "id")),
+    ("impacts", "revocation_id", "revocations", "impact_of_unknown_revocation", ()),
+    ("impacts", "decision_id", "decisions", "impact_on_unknown_decision", ()),
+    ("contradictions", "left_version_id", "versions", "contradiction_of_unknown_version", ("organization_id", "id")),
+    ("contradictions", "right_version_id", "versions", "contradiction_of_unknown_version", ("organization_id", "id")),
+    ("contradictions", "preferred_version_id", "versions", "contradiction_of_unknown_version", ("organization_id", "id")),
+)
+
+
+def closed_references(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """References that leave the tenant or lead nowhere, of all tables that are given with their parents."""
+    return [
+        tenant_closure(tables[child], column, tables[parent], rule, *key)
+        for child, column, parent, rule, key in REFERENCES
+        if tables.get(child) is not None and tables.get(parent) is not None and column in tables[child].columns
+    ]
+
+
 def audit(tables: dict[str, DataFrame], *, dims: int | None = None) -> DataFrame:
     """Every audit that applies to the given ledger tables."""
     t = tables.get
     v = tables["versions"]
-    parts = [overlapping_validity(v), version_numbering(v), version_values(v)]
-    if t("sources") is not None:
-        parts.append(tenant_closure(v, "source_id", t("sources"), "unknown_source", "organization_id", "id"))
+    parts = [overlapping_validity(v), version_numbering(v), version_values(v), *closed_references(tables)]
     if t("evidence") is not None:
         parts.append(evidence_rules(t("evidence")))
-    if t("links") is not None:
-        parts.append(tenant_closure(t("links"), "fact_version_id", v, "link_to_unknown_version"))
-        if t("evidence") is not None:
-            parts.append(tenant_closure(t("links"), "evidence_id", t("evidence"), "link_to_unknown_evidence"))
     if t("snapshot_facts") is not None:
-        parts.append(tenant_closure(t("snapshot_facts"), "fact_version_id", v, "snapshot_of_unknown_version"))
         if t("snapshots") is not None:
             parts.append(snapshot_rules(t("snapshots"), t("snapshot_facts")))
         if t("decision_facts") is not None:

@@ -443,10 +443,11 @@ def _no_admin(s, d):
 
 
 def _sound(s, d):
-    """Every audit over the sound ledger: no rows."""
+    """Every audit over the sound ledger: no rows. Source n of the documents speaks for source n % 5 of their tenant."""
+    spoken = (F.regexp_extract("source_id", "([0-9]+)", 1).cast("int") % 5).cast("long")
     return au.audit(
         {
-            "versions": led(s, d), "sources": src(s, d), "evidence": evidence(s, d), "links": links(s, d),
+            "versions": led(s, d), "sources": src(s, d), "evidence": evidence(s, d).withColumn("source_id", spoken), "links": links(s, d), "decisions": dec(s, d),
             "snapshots": snapshots(s, d), "snapshot_facts": snap(s, d), "decision_facts": relied(s, d), "revocations": revs(s, d),
             "impacts": _impacts(s, d), "contradictions": conflicts(s, d),
         }

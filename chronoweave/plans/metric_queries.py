@@ -195,6 +195,19 @@ def _exported(s, d, name):
     return s.read.schema(eval_io.ANALYTICS_SCHEMAS[name]).json(f"{folder}/{name}")
 
 
+def _registered(s, d):
+    """Both tables exported, registered as views and joined in SQL."""
+    folder = f"{checkpoint_root(s)}/chronoweave/{s.sparkContext.applicationId}/analytics-{uuid.uuid4().hex[:12]}"
+    results = _results(s, d)
+    eval_io.export_runs(results, folder)
+    eval_io.export_cases(results, folder)
+    eval_io.register_analytics(s, folder)
+    return flat(s.sql(
+        "select r.run_date, r.configuration, count(distinct r.run_id) as runs, count(c.case_id) as cases, cast(sum(c.violation_count) as bigint) as violations "
+        "from retrieval_runs r left join retrieval_cases c on c.run_id = r.run_id and c.configuration = r.configuration group by 1, 2"
+    ))
+
+
 _RUNS = """
 rs as (select conv_id as i, count(*) as n, sum(length(text)) as chars from conversations group by 1),
 runs as (select strftime(TIMESTAMP '2024-01-01' + INTERVAL '1' HOUR * (i % 720), '%Y-%m-%d') as run_date,
@@ -286,6 +299,11 @@ select k.prompt, round(round(avg(correct::int), 4), 3) as accuracy, round(round(
     "ev13_guard_rate": (
         _guard, "select round(avg((event_id % 33 <> 0)::int) filter (event_id % 3 = 0), 6) as guard_rate from events",
     ),
+    "io6_registered_analytics": (
+        _registered,
+        _ar("""select r.run_date, r.configuration, count(distinct r.run_id) as runs, count(c.case_id) as cases, cast(sum(c.violation_count) as bigint) as violations
+ from runs r left join cases c on c.run_id = r.run_id and c.configuration = r.configuration group by 1, 2"""),
+    ),
     "an1_run_rows": (
         lambda s, d: flat(_exported(s, d, "retrieval_runs").select("run_date", "run_id", "run_timestamp", "commit_sha", "working_tree_dirty", "synthetic", "configuration", "cases", "mrr", "recall_at_5", "ndcg_at_5")),
         _ar("select run_date, run_id, run_timestamp, commit_sha, working_tree_dirty, synthetic, configuration, cases, mrr, recall_at_5, ndcg_at_5 from runs"),

@@ -11,6 +11,7 @@ from chronoweave.plans import fixtures as fx
 from chronoweave.plans.common import flat, sql, stored, t
 from chronoweave.plans.ledger_queries import _PLAN
 from chronoweave.session import checkpoint_root
+from chronoweave.sources import event_io
 from chronoweave.sources.event_io import MESSAGE_SCHEMA
 from chronoweave.streaming import events as ev
 from chronoweave.streaming.versions import VersionStore, stream_versions
@@ -86,6 +87,14 @@ def _fresh_folder(s, name):
     return f"{checkpoint_root(s)}/chronoweave/{s.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _stored_events(s, d):
+    """Events published to a folder, read back as a broker's messages and decoded."""
+    folder = _fresh_folder(s, "events")
+    event_io.write_events(domain_events(s, d), folder=folder)
+    read = event_io.read_events(s, folder=folder, streaming=False)
+    return flat(ev.decode(read).select("topic", "key", "id", "type", "organization_id", "subject", "time", "problem"))
+
+
 def _decoded(s, d):
     return ev.decode(messages(s, d))
 
@@ -161,14 +170,20 @@ select id, type, organization_id, id as subject, {t('ts')} as time, 'id' as firs
         f"""with {_DOMAIN}
 select case when type like 'fact%' then 'chronoweave.facts.v1' when type like 'evidence%' then 'chronoweave.evidence.v1' else 'chronoweave.decisions.v1' end as topic,
  organization_id as key, id, 2 as headers from dom""",
+    ),
+    "io7_events_written_and_read": (
+        _stored_events,
+        f"""with {_DOMAIN}
+select case when type like 'fact%' then 'chronoweave.facts.v1' when type like 'evidence%' then 'chronoweave.evidence.v1' else 'chronoweave.decisions.v1' end as topic,
+ organization_id as key, id, type, organization_id, id as subject, {t('ts')} as time, cast(null as varchar) as problem from dom""",
     ),
     "st1_decoded_events": (
-        lambda s, d: flat(_decoded(s, d).select("offset", "problem", "type", "time").where("problem is null or problem not like '%JSON%'").withColumn(
+        lambda s, d: flat(_decoded(s, d).select("offset", "problem", "type", "time").withColumn(
             "time", F.when(F.col("problem").isNull(), F.col("time"))).withColumn("type", F.when(F.col("problem").isNull(), F.col("type")))),
         f"""with {_DOMAIN}, two as (select * from dom union all select * from dom where n % 10 = 0)
 select n as offset, cast(null as varchar) as problem, type, {t('ts')} as time from two
-union all select event_id, case event_id % 4 when 0 then 'undecodable: payload' when 1 then 'undecodable: envelope' else 'undecodable: unknown type' end, null, null
- from events where event_type = 'error' and event_id % 4 <> 3""",
+union all select event_id, case event_id % 4 when 0 then 'undecodable: payload' when 1 then 'undecodable: envelope' when 2 then 'undecodable: unknown type'
+ else 'undecodable: not a JSON object' end, null, null from events where event_type = 'error'""",
     ),
     "io9_dead_letters": (
         lambda s, d: ev.split_dead_letters(messages(s, d))[1].select("topic", "dlq_consumer", "dlq_error", "dlq_attempts", "dlq_source"),

@@ -15,6 +15,7 @@ from chronoweave.functions.frames import computed_once
 from chronoweave.functions.privacy import PRIVACY_ORDER, scope_ordinal, visible_ordinal
 from chronoweave.functions.stemming import search_tokens
 from chronoweave.operators.embedding import build_search_docs
+from chronoweave.functions.frames import frame_bytes
 from chronoweave.operators.ordered import keep_top
 from chronoweave.operators.temporal import as_known
 from chronoweave.operators.vectors import nearest_blocks
@@ -29,8 +30,8 @@ RRF_K = 60
 TRUST_WEIGHT = 0.3
 TEXT_UNIT = 0.1
 
-# Question terms are rows of a few hundred bytes: this many stay well below 100 MB.
-BROADCAST_TERMS = 200_000
+# Question terms up to this measured size are broadcast.
+BROADCAST_BYTES = 64 << 20
 TOKEN_SALTS = 32
 
 # Columns a table of questions may leave out, with their types and defaults.
@@ -188,11 +189,11 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 
 def text_hits(
-    rows: DataFrame, docs: DataFrame, questions: DataFrame, *, broadcast_terms: int = BROADCAST_TERMS
+    rows: DataFrame, docs: DataFrame, questions: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """(question_id, organization_id, id, text_score, text_rank) of versions sharing any token.
 
-    With up to ``broadcast_terms`` question terms they are broadcast: the tokens of one version stay
+    Question terms of up to ``broadcast_bytes``, as measured, are broadcast: the tokens of one version stay
     in one task from the postings to the score, so the pairs are summed and cut to the pool before
     anything is shuffled. Beyond that both sides meet by token, each token spread over salts.
     """
@@ -208,7 +209,7 @@ def text_hits(
         .withColumn("__tf", F.size(F.filter("tokens", lambda t: t == F.col("token"))))
         .drop("tokens")
     )
-    if asks.count() <= broadcast_terms:
+    if frame_bytes(asks) <= broadcast_bytes:
         met = postings.join(F.broadcast(asks), ["organization_id", "token"])
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1)))

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoweave.functions.frames import frame_bytes
 from chronoweave.operators.ordered import keep_top
 
-QUESTION_BYTES = 32 << 20  # question vectors up to this size are broadcast, more are split into blocks
+QUESTION_BYTES = 32 << 20  # questions up to this measured size are broadcast, more are split into blocks
 BLOCK_ROWS = 20_000
 BLOCK_CELLS = 4_000_000  # distances a task holds at once
 
@@ -95,10 +96,9 @@ def nearest_blocks(
     id_type = rows.schema["id"].dataType.simpleString()
     q_type = questions.schema["question_id"].dataType.simpleString()
     schema = f"question_id {q_type}, id {id_type}, distance double"
-    allowed = max(1, question_bytes // (8 * dims + 256))
-    first = questions.limit(allowed + 1).toPandas()  # never more than question_bytes and one row
-    if len(first) <= allowed:
-        shared = spark.sparkContext.broadcast(first)
+    asked_bytes = frame_bytes(questions.withColumn("vector", F.size("vector"))) + questions.count() * 8 * dims
+    if asked_bytes <= question_bytes:
+        shared = spark.sparkContext.broadcast(questions.toPandas())
 
         def scan(batches):
             limits: dict = {}
@@ -107,18 +107,18 @@ def nearest_blocks(
 
         local = rows.mapInPandas(scan, schema)
     else:
-        blocks = -(-questions.count() // allowed)
-        salts = max(1, -(-rows.count() // block_rows))
-        q = questions.withColumn("__qb", F.pmod(F.xxhash64("question_id"), F.lit(blocks))).withColumn(
-            "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        )
-        r = rows.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).withColumn(
-            "__qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        )
+        # Blocks of rows meet blocks of questions of the same group; groups nobody asks about stay out.
+        blocks = -(-asked_bytes // question_bytes)
+        salts = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("__salts")
+        sizes = rows.groupBy(*group).agg(salts)
+        q = questions.withColumn("__qb", F.pmod(F.xxhash64("question_id"), F.lit(blocks)))
+        meeting = q.select(*group, F.col("__qb").alias("__b")).distinct().join(sizes, group)
+        q = q.join(sizes, group).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+        r = rows.join(meeting, group).withColumn("__salt", F.pmod(F.xxhash64("id"), F.col("__salts")).cast("int"))
+        r = r.withColumn("__qb", F.col("__b")).drop("__salts", "__b")
+        key = [*group, "__qb", "__salt"]
         local = (
-            r.groupBy("__qb", "__salt")
-            .cogroup(q.groupBy("__qb", "__salt"))
-            .applyInPandas(lambda left, right: _best(left, right, group, mask), schema)
+            r.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(lambda left, right: _best(left, right, group, mask), schema)
         )
     pools = questions.groupBy("question_id").agg(F.max("pool").alias("__pool"))
     largest = pools.agg(F.max("__pool")).first()[0] or 0

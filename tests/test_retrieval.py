@@ -133,7 +133,7 @@ def expected_text(world):
 def test_text_hits_match_brute_force(world, limit):
     v, _, gone, q = world
     asks, _ = rt.normalize_questions(q)
-    hits = rt.text_hits(rt.searchable(v, gone), em.build_search_docs(v), asks, broadcast_terms=limit).orderBy("question_id", "text_rank").collect()
+    hits = rt.text_hits(rt.searchable(v, gone), em.build_search_docs(v), asks, broadcast_bytes=limit).orderBy("question_id", "text_rank").collect()
     got = {}
     for h in hits:
         got.setdefault(h.question_id, []).append(h.id)
@@ -232,3 +232,17 @@ def test_embedding_is_reused_within_a_tenant_only(spark):
 )
 def test_stemmer(word, want):
     assert stem(word) == want
+
+
+@pytest.mark.parametrize("room", [1, 1 << 25])
+def test_many_equal_vectors_tie_by_id_in_any_plan(spark, room):
+    """Copies of one vector have one distance, whatever blocks they are computed in, and any pool is given in full."""
+    rows = spark.range(900).selectExpr("id", "id % 3 as g", "array(cast(0.1 + (id % 9) * 0.1 as float), cast(0.7 as float), cast(0.2 as float)) as embedding")
+    asked = spark.range(6).selectExpr("id as question_id", "id % 3 as g", "array(0.3f, 0.7f, 0.2f) as vector", "250 as pool")
+    got = vx.nearest_blocks(rows, asked, group=["g"], dims=3, question_bytes=room, block_rows=50).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        by.setdefault(r.question_id, []).append((r.distance, r.id))
+    assert all(len(v) == 250 and v == sorted(v) for v in by.values()) and len(by) == 6
+    near = [i for _, i in by[0]]
+    assert near[:100] == [i for i in range(900) if i % 3 == 0 and i % 9 == near[0] % 9][:100]

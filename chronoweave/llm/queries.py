@@ -100,6 +100,78 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(documents(spark, sf_dir))
 
 
+OP9_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents
+), p AS (
+  SELECT doc_id, i, substring(x, 2 * i + 1, 200) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM d)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM p) WHERE k > 1
+), marks AS (
+  SELECT doc_id, i, CASE WHEN i > lag(i) OVER w + 100 OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS fresh
+  FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), runs AS (
+  SELECT doc_id, min(i) AS b, max(i) + 100 AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marks) GROUP BY doc_id, run
+), cuts AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS a FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(substring(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY b) AS head, max(e) AS e, sum(e - b) AS n_removed, count(*) AS n_spans
+  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substring(x, 2 * coalesce(e, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, text IS NOT NULL AS here, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), base AS (
+  SELECT doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+), g AS (SELECT doc_id, i, w[i : i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM g) WHERE k > 1) GROUP BY doc_id
+), classes AS (
+  SELECT doc_id, lang, here, c, length(t) - length(regexp_replace(t, pattern, '', 'g')) AS n FROM d, (VALUES
+    (0, '[\x20\x09-\x0D]'), (1, '[a-z]'), (2, '[A-Z]'), (3, '[0-9]'), (4, '[.,;:!?''"()-]'),
+    (5, '[#$%&*+/<=>@\[\\\]^_`{|}~]'), (6, '[\x00-\x08\x0E-\x1F\x7F]'), (7, '[^\x00-\x7F]')) AS p(c, pattern)
+), words AS (
+  SELECT doc_id, lang, word, count(*) AS n FROM (
+    SELECT doc_id, lang, unnest(list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS word FROM d)
+  GROUP BY ALL
+), totals AS (SELECT lang, sum(n) AS n FROM words WHERE lang IS NOT NULL GROUP BY lang),
+ref_class AS (
+  SELECT lang, c, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM classes WHERE here AND lang IN (SELECT lang FROM totals) GROUP BY lang, c
+), ref_word AS (
+  SELECT w.lang, word, sum(w.n) / any_value(t.n) AS q FROM words w JOIN totals t USING (lang) GROUP BY w.lang, word HAVING sum(w.n) >= any_value(t.n) / 400
+), own_class AS (SELECT doc_id, c, n / greatest(1, sum(n) OVER (PARTITION BY doc_id)) AS p FROM classes),
+d_class AS (
+  SELECT doc_id, r.lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+    + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS x FROM own_class JOIN ref_class r USING (c) GROUP BY doc_id, r.lang
+), met AS (
+  SELECT w.doc_id, r.lang, sum(p) AS ps, sum(q) AS qs, sum(p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q))) AS x
+  FROM (SELECT doc_id, word, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM words) w JOIN ref_word r ON r.word = w.word GROUP BY w.doc_id, r.lang
+), sums AS (SELECT t.lang, coalesce(sum(q), 0) AS q FROM totals t LEFT JOIN ref_word r USING (lang) GROUP BY t.lang),
+d_word AS (
+  SELECT doc_id, lang, sqrt(greatest(0, (x + q - qs + CASE WHEN po > 0 THEN po * log2(2 * po / (po + qo)) ELSE 0 END
+    + CASE WHEN qo > 0 THEN qo * log2(2 * qo / (po + qo)) ELSE 0 END) / 2)) AS x
+  FROM (SELECT b.doc_id, s.lang, coalesce(x, 0) AS x, coalesce(qs, 0) AS qs, s.q, CASE WHEN abs(1 - coalesce(ps, 0)) < 1e-12 THEN 0 ELSE 1 - coalesce(ps, 0) END AS po, greatest(0, 1 - s.q) AS qo
+    FROM base b CROSS JOIN sums s LEFT JOIN met m ON m.doc_id = b.doc_id AND m.lang = s.lang)
+), near AS (
+  SELECT b.doc_id, bool_or((b.n_words < 20 OR c.x <= 0.30) AND (b.n_words < 60 OR v.x <= 0.50)) AS ok
+  FROM base b JOIN d_class c USING (doc_id) JOIN d_word v ON v.doc_id = b.doc_id AND v.lang = c.lang GROUP BY b.doc_id
+), f AS (
+  SELECT b.doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * coalesce(rep.n, 0) > 30 * n_words AS base_failed
+  FROM base b LEFT JOIN rep USING (doc_id)
+)
+SELECT f.*, NOT base_failed AND coalesce(near.ok, true) AS kept FROM f LEFT JOIN near USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_lattice_lm": (op1_lattice_lm, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
@@ -109,6 +181,6 @@ QUERIES = {
     "op6_paragraphs": (op6_paragraphs, None),
     "op7_decontamination": (op7_decontamination, OP7_SQL),
     "op8_token_counts": (op8_token_counts, None),
-    "op9_repeated_strings": (op9_repeated_strings, None),
-    "op10_quality_rules": (op10_quality_rules, None),
+    "op9_repeated_strings": (op9_repeated_strings, OP9_SQL),
+    "op10_quality_rules": (op10_quality_rules, OP10_SQL),
 }

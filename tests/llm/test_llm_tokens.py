@@ -31,15 +31,15 @@ def tik():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_pieces_join_to_the_text():
+def test_the_fast_pattern_is_equal():
     import regex
 
-    find = regex.compile(public_tokenizers.PATTERN).findall
-    for text in fuzz():
-        first, *rest = pretokens.pieces(text)
-        parts = [first, *(" " + r for r in rest)]
-        assert "".join(parts) == text
-        assert [m for p in parts for m in find(p)] == find(text)
+    assert pretokens.BYTE_LEVEL == public_tokenizers.PATTERN
+    find, plain = pretokens.finder(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    draw = random.Random(8)
+    texts = ["".join(chr(draw.randrange(256)) for _ in range(draw.randint(0, 40))) for _ in range(4000)]
+    for text in texts + fuzz():
+        assert find(text) == plain(text)
 
 
 def test_byte_bpe_equals_the_library(tik):

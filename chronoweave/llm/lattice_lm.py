@@ -11,7 +11,8 @@ word leaves ``DISCOUNT`` of its occurrences to be spelled by pieces, all others
 words as they look when they are new, and words never seen keep a fair share.
 
 Beside the score stands a smoothed word unigram as a base. Its counts are looked up from a bounded table of frequent words in
-the tasks, and for all other words by a join with the stored table of counts.
+the tasks, and for all other words by a join with the stored table of counts; after that join equal words stand together, and
+each is spelled once.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm import common
-from chronoweave.llm.common import Memo
 
 #: The most frequent words, at most so many and of so many bytes, are units of their own and known in every task.
 FREQUENT, FREQUENT_BYTES = 200_000, 64
@@ -62,7 +62,6 @@ class Lattice:
         self.p, self.word = unit.tolist(), word
         self.log = np.log(unit).tolist()
         self.find = automaton(tuple(units)).iter
-        self.scores = Memo(self.log10, 200_000)
 
     def posterior(self, word: bytes, n: float, expected: np.ndarray) -> None:
         """Add the expected uses of each unit of the vocabulary when ``word`` is spelled ``n`` times."""
@@ -205,43 +204,58 @@ def scores(docs: DataFrame, model: Model, passed: list[Column] | None = None) ->
     """
     spark = common.ready(docs.sparkSession)
     scale = model.total + 0.5 * (model.distinct + 1)
-    known = spark.sparkContext.broadcast({w: (math.log10((n + 0.5) / scale), model.words[w]) for w, n in model.frequent.items()})
+    lattice = Lattice(model.units, model.unit, model.words)
+    known = spark.sparkContext.broadcast({w: (math.log10((n + 0.5) / scale), lattice.log10(w)) for w, n in model.frequent.items()})
     units, unit, end = model.units, model.unit, math.log10(model.end)
-    end_base, end_known = math.log10((model.texts + 0.5) / scale), int(model.texts > 0)
+    end_base, end_known, unknown = math.log10((model.texts + 0.5) / scale), int(model.texts > 0), math.log10(0.5 / scale)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(passed or []), F.col("text").cast("string").alias("text"))
     kept = rows.columns[:-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = known.value
-        lattice = Lattice(units, unit, {w: p for w, (_, p) in frequent.items()})
-        logs = lattice.scores
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = known.value.get
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for data in common.texts_bytes(batch.column("text")):
                 words = (data or b"").lower().split()
                 base, score, n_known, rare, times = end_base, end, end_known, [], []
                 for word, n in Counter(words).items():
-                    score += n * logs[word]
-                    if (entry := frequent.get(word)) is None:
+                    if (entry := find(word)) is None:
                         rare.append(word)
                         times.append(n)
                     else:
                         base += n * entry[0]
+                        score += n * entry[1]
                         n_known += n
                 for column, value in zip(out, (len(words) + 1, n_known, base, score, rare, times), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, out, kinds)], [*kept, "n_tokens", "_known", "_base", "score", "_rare", "_times"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, out, kinds)], [*kept, "n_tokens", "_known", "_base", "_score", "_rare", "_times"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, last, value = Lattice(units, unit, {}), None, 0.0  # words outside the frequent ones are spelled
+        for batch in batches:
+            values = []
+            for word in batch.column("word").to_pylist():  # equal words stand together after the join
+                if word != last:
+                    last, value = word, lattice.log10(word)
+                values.append(value)
+            times = batch.column("m").to_numpy()
+            counts = batch.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
+            seen = ~np.isnan(counts)
+            base = np.where(seen, np.log10((np.where(seen, counts, 0) + 0.5) / scale), unknown)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), pa.array(np.where(seen, times, 0).astype(np.int64)), pa.array(times * base), pa.array(times * np.array(values))],
+                ["_row", "k", "b", "s"],
+            )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    schema += ", n_tokens long, _known long, _base double, score double, _rare array<binary>, _times array<int>"
-    scored = common.stored(rows.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
+    schema += ", n_tokens long, _known long, _base double, _score double, _rare array<binary>, _times array<int>"
+    scored = common.stored(rows.mapInArrow(look_up, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("r")).select("_row", F.col("r._rare").alias("word"), F.col("r._times").alias("m"))
-    found = rare.join(model.counts, "word").groupBy("_row").agg(
-        F.sum("m").alias("_n"), F.sum(F.col("m") * F.log10((F.col("n") + 0.5) / F.lit(scale))).alias("_log")
-    )
-    n_known = F.col("_known") + F.coalesce("_n", F.lit(0))
-    base = F.col("_base") + F.coalesce("_log", F.lit(0.0)) + (F.col("n_tokens") - n_known - (1 - end_known)) * F.lit(math.log10(0.5 / scale))
-    return scored.select("_row", *(f"`{c}`" for c in kept), "n_tokens", "_known", "_base", "score").join(found, "_row", "left").select(
-        *(f"`{c}`" for c in kept), "n_tokens", n_known.alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
+    spelled = rare.join(model.counts, "word", "left").select("_row", "word", "m", "n").mapInArrow(spell, "_row long, k long, b double, s double")
+    found = spelled.groupBy("_row").agg(F.sum("k").alias("_k"), F.sum("b").alias("_b"), F.sum("s").alias("_s"))
+    plus = lambda a, b, zero: F.col(a) + F.coalesce(F.col(b), F.lit(zero))
+    return scored.select("_row", *(f"`{c}`" for c in kept), "n_tokens", "_known", "_base", "_score").join(found, "_row", "left").select(
+        *(f"`{c}`" for c in kept), "n_tokens", plus("_known", "_k", 0).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
+        plus("_base", "_b", 0.0).alias("base_score"), plus("_score", "_s", 0.0).alias("score"),
     )

@@ -199,6 +199,16 @@ def _ivf(s, d, probes=10):
     return vx.ivf_search(vx.ivf_assign(rows, centroids), asks, centroids, probes=probes, n=10, dims=DIMS)
 
 
+def _ivf_all(s, d):
+    """With every list probed, inverted lists give the exact neighbours."""
+    return _ivf(s, d, probes=vx.MAX_LISTS).select("question_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def _recall_all(s, d):
+    r = vx.ann_recall(_ivf(s, d, probes=vx.MAX_LISTS), _exact(s, d), 10)
+    return r.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg("recall"), 4).alias("recall_at_10"))
+
+
 def _exact(s, d):
     one = F.lit("all").alias("model")
     rows = fx.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", one)
@@ -522,7 +532,15 @@ select question_id, id, position, round(score, 9) as score from y where position
         ),
     ),
     "rt16_inverted_lists": (lambda s, d: _ivf(s, d), None),
+    "rt16_all_lists_probed": (
+        _ivf_all,
+        """with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+p as (select a.vec_id as question_id, b.vec_id as id, 1 - list_cosine_similarity(a.v, b.v) as dist from e a, e b),
+r as (select *, row_number() over (partition by question_id order by round(dist, 12), id) as rank from p)
+select question_id, id, round(dist, 6) as distance, rank from r where rank <= 10""",
+    ),
     "rt17_ann_recall": (_ann_recall, None),
+    "rt17_recall_all_lists_probed": (_recall_all, "select count(*) as questions, 1.0::double as recall_at_10 from embeddings"),
     "rt18_retrieval_generation": (
         _generation,
         sql(

@@ -246,3 +246,18 @@ def test_many_equal_vectors_tie_by_id_in_any_plan(spark, room):
     assert all(len(v) == 250 and v == sorted(v) for v in by.values()) and len(by) == 6
     near = [i for _, i in by[0]]
     assert near[:100] == [i for i in range(900) if i % 3 == 0 and i % 9 == near[0] % 9][:100]
+
+
+def test_few_probes_find_the_neighbours_in_clustered_vectors(spark):
+    draw = np.random.default_rng(11)
+    centres = draw.normal(size=(48, 32))
+    points = (centres[draw.integers(0, 48, 3000)] + 0.25 * draw.normal(size=(3000, 32))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "id long, embedding array<float>")
+    asks = rows.where("id < 200").selectExpr("id as question_id", "embedding as vector")
+    centroids = vx.ivf_fit(rows, 54)
+    found = vx.ivf_search(vx.ivf_assign(rows, centroids), asks, centroids, probes=10, n=10, dims=32)
+    one = rows.withColumn("model", F.lit("m"))
+    exact = vx.nearest(one, asks.withColumn("model", F.lit("m")), 10, 32, ["model"])
+    assert vx.ann_recall(found, exact, 10).agg(F.avg("recall")).first()[0] >= 0.95
+    with pytest.raises(ValueError):
+        vx.ivf_fit(rows, vx.MAX_LISTS + 1)

@@ -4,7 +4,7 @@ Tokens are byte strings mapped to Latin-1, so that an Aho-Corasick automaton fin
 sequence is the one that merging by rank would give if and only if every two adjacent tokens are *compatible*: merging their
 joined bytes by rank gives just these two back. So the encoder takes the longest match that is compatible with the token
 before it; where none fits it drops the last token, marks its end as a dead position and tries the next shorter match. Each
-position dies at most once, so the time is linear in the piece. Compatibility is memoised, as are the ids of pieces.
+position dies at most once, so the time is linear in the piece. Compatibility is memoised, as are the ids of matches.
 """
 
 from __future__ import annotations
@@ -16,20 +16,19 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm import common
 from chronoweave.llm.common import Memo
-from chronoweave.llm.pretokens import pieces
+from chronoweave.llm.pretokens import finder
 
 
 class ByteBpe:
     """``ranks``: bytes of each token and its rank, which is its id; ``pattern`` cuts a text before the merges."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.ranks, self.find = ranks, finder(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -37,8 +36,7 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.whole = Memo(lambda rank: self._merged(self.bytes_of[rank]) == [rank], len(ranks) + 1)
         self.fit = Memo(lambda two: self._merged(self.bytes_of[two[0]] + self.bytes_of[two[1]]) == [*two], 500_000)
-        self.match = Memo(lambda match: np.array(self.encode_piece(match.encode()), dtype="<u4").tobytes(), 150_000)
-        self.later = Memo(lambda piece: self._ids(" " + piece), 200_000)
+        self.match = Memo(lambda match: np.array(self.encode_piece(match.encode()), dtype="<u4").tobytes(), 300_000, 200)
 
     def _merged(self, data: bytes) -> list[int]:
         """Merges by rank, step by step: only for the bytes of one or two tokens."""
@@ -84,15 +82,9 @@ class ByteBpe:
                 tokens.pop()
         return tokens
 
-    def _ids(self, text: str) -> bytes:
-        return b"".join([self.match[m] if len(m) < 200 else self.match.make(m) for m in self.find(text)])
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        first, *rest = pieces(text)
-        return b"".join([self._ids(first), *map(self.later.__getitem__, rest)])
+        return b"".join(map(self.match.__getitem__, self.find(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))

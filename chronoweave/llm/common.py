@@ -7,7 +7,7 @@ only the columns it names, so other columns, whatever their names, cannot clash
 from __future__ import annotations
 
 import gc
-import itertools
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from chronoweave.session import checkpoint_root, prepare
 
 #: Rows of one Arrow batch, and its bytes: what a Python worker holds at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -46,8 +46,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished phases now, not whenever the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold what the second can
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -199,14 +201,17 @@ class Forest:
 class Memo(dict):
     """A dictionary that works out what is missing: bounded memory, the same answers.
 
-    When full it starts anew and keeps the full one beside it, so what is often asked for is not worked out again.
+    When full it starts anew and keeps the full one beside it, so what is often asked for is not worked out again. Strings
+    longer than ``longest`` are never kept.
     """
 
-    def __init__(self, make: Callable, most: int = 200_000):
+    def __init__(self, make: Callable, most: int = 200_000, longest: int | None = None):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

@@ -1,22 +1,33 @@
-"""Cuts a text into pieces that byte-level tokenizers treat independently, mostly without a pattern match.
-
-The split pattern starts a new match before every space that follows a visible character, and before a space between white
-space and a visible character. Cutting at single spaces is therefore exact unless a space stands between white space on both
-sides (or at the end of the text); such texts are given as one piece.
-"""
+"""Splitting texts by the pattern of byte-level vocabularies, fast where a text keeps to Latin-1."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+
+import regex
+
+#: Fixed value: the split pattern of byte-level vocabularies, for which texts within Latin-1 have a faster equivalent.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The letters, numbers and white space of Latin-1.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_NARROW = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
-_UNSAFE = re.compile(r"\s (?:\s|\Z)|\A (?:\s|\Z)")
 
+def finder(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of ``pattern`` in a text."""
+    wide = regex.compile(pattern).findall
+    if pattern != BYTE_LEVEL:
+        return wide
+    narrow = _NARROW.findall
 
-def pieces(text: str) -> list[str]:
-    """Pieces whose concatenation is ``text``; the pattern's matches in ``text`` are those of the pieces in turn.
+    def find(text: str) -> list[str]:
+        if text.isascii():
+            return narrow(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return wide(text)
+        return narrow(text)
 
-    All pieces but the first are given without the space they begin with.
-    """
-    if "  " in text or _UNSAFE.search(text):
-        return [text]
-    return text.split(" ")
+    return find

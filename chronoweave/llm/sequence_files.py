@@ -17,13 +17,13 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 
 from chronoweave.llm import common
 from chronoweave.llm.common import Memo
-from chronoweave.llm.pretokens import pieces
+from chronoweave.llm.pretokens import finder
 
 CASTAGNOLI, MASK = 0x82F63B78, 0xA282EAD8
 _HEAD, _HEAD_BYTES, _BLOCK = "<Bq", 9, 64
@@ -138,22 +138,21 @@ class Encoder:
         self.library.no_padding()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
+        self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
         setting = json.loads(self.library.to_str())
         cut = setting["pre_tokenizer"] or {}
         plain = setting["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         self.by_match = bool(pattern and plain)
         if self.by_match:
-            self.find, self.letters = regex.compile(pattern).findall, dict(enumerate(_byte_letters()))
-            self.match = Memo(self._match, 150_000)
-            self.later = Memo(lambda piece: self._matches(" " + piece), 300_000)
+            self.find, self.letters = finder(pattern), dict(enumerate(_byte_letters()))
+            self.match = Memo(self._match, 250_000, 200)
 
     def _match(self, match: str) -> bytes:
-        tokens = self.library.model.tokenize(match.encode().decode("latin-1").translate(self.letters))
-        return b"".join([t.id.to_bytes(self.width, "little") for t in tokens])
-
-    def _matches(self, text: str) -> bytes:
-        return b"".join([self.match[m] if len(m) < 200 else self._match(m) for m in self.find(text)])
+        if match.isascii() and match.isprintable():
+            letters = match.replace(" ", self.letters[32])
+        else:
+            letters = match.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.library.model.tokenize(letters)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of ``width`` bytes each, little-endian."""
@@ -161,8 +160,7 @@ class Encoder:
             return b""
         if not self.by_match or any(a in text for a in self.added):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        first, *rest = pieces(text)
-        return b"".join([self._matches(first), *map(self.later.__getitem__, rest)])
+        return b"".join(map(self.match.__getitem__, self.find(text)))
 
 
 @lru_cache(maxsize=2)

@@ -29,7 +29,7 @@ class PieceCounter:
         if any(SPACE in piece.lstrip(SPACE) for piece in scores):
             raise ValueError(f"pieces with {SPACE} after another character are not supported")
         self.scores, self.byte_fallback = scores, byte_fallback
-        self.word = Memo(lambda word: self.merges(SPACE + word), 200_000)
+        self.word = Memo(lambda word: self.merges(SPACE + word), 200_000, 200)
 
     def merges(self, symbols: str) -> int:
         """Tokens of a sequence of symbols."""

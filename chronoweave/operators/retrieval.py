@@ -168,14 +168,26 @@ def _eligible_block(rows: pd.DataFrame, asked: pd.DataFrame) -> np.ndarray:
     ok &= rows["scope"].to_numpy()[:, None] <= asked["ceiling"].to_numpy()[None, :]
     ok &= rows["authority"].to_numpy()[:, None] >= asked["min_authority"].fillna(-1).to_numpy()[None, :]
     ok &= rows["confidence"].to_numpy(dtype=float)[:, None] >= asked["min_confidence"].fillna(-1).to_numpy(dtype=float)[None, :]
-    for j, (kind, ids, props, srcs) in enumerate(
-        zip(asked["entity_type"], asked["external_ids"], asked["properties"], asked["source_ids"])
+    # Filters by value: each column of the block is coded once, and each distinct list of values looked up once.
+    for column, wanted in (
+        ("entity_type", [None if k is None else (k,) for k in asked["entity_type"]]),
+        ("external_id", [None if w is None else tuple(w) for w in asked["external_ids"]]),
+        ("property", [None if w is None else tuple(w) for w in asked["properties"]]),
+        ("source_id", [None if w is None else tuple(w) for w in asked["source_ids"]]),
     ):
-        if kind is not None:
-            ok[:, j] &= (rows["entity_type"] == kind).to_numpy()
-        for column, wanted in (("external_id", ids), ("property", props), ("source_id", srcs)):
-            if wanted is not None:
-                ok[:, j] &= rows[column].astype(str).isin(list(wanted)).to_numpy()
+        lists = {w for w in wanted if w is not None}
+        if not lists:
+            continue
+        codes, values = pd.factorize(rows[column].astype(str))
+        place = {v: i for i, v in enumerate(values)}
+        member = {}
+        for w in lists:
+            table = np.zeros(len(values), dtype=bool)
+            table[[place[str(v)] for v in w if str(v) in place]] = True
+            member[w] = table[codes]
+        for j, w in enumerate(wanted):
+            if w is not None:
+                ok[:, j] &= member[w]
     return ok
 
 

@@ -41,7 +41,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`stored` has written and nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -167,7 +176,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = stored(step(step(edges, True), False), "stars")
+        last, edges = edges, stored(step(step(edges, True), False), "stars")
+        discard(last)
         after = mark(edges)
         if tuple(after) == tuple(before):
             break

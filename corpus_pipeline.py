@@ -53,7 +53,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        last, docs = docs, common.stored(stage(spark, docs, sf_dir), name)
+        if k:
+            common.discard(last)
         common.release(spark)
     return docs

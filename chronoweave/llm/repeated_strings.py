@@ -8,9 +8,12 @@ by a name: the names of two strings side by side, ``size`` bytes apart, are mixe
    strings have it at the same offset. Consecutive positions with the same minimiser form a *stretch*, whose bytes decide all
    its strings; a stretch is one row. Spark sorts the rows by the minimiser's name, the stretch's and the place. A stretch
    that equals an earlier one is repeated throughout; one whose minimiser no other stretch has is unique and drops out.
-2. **100 bytes.** What is left, mostly the ends of repeated passages, goes on position by position: the names 32, 64 and 68
-   bytes further on are joined to a position's own, and Spark sorts by the joined name and the place. All places of a name but
-   the first are repeated. The threshold is reached, so no round follows.
+2. **93 bytes.** What is left is cut into blocks of up to eight positions, at the same offsets from the minimiser. All strings
+   of a block have 93 bytes in common; Spark sorts by their name, that of the whole block and the place, and blocks are
+   settled as stretches were.
+3. **100 bytes.** The blocks left, about one at each end of a repeated passage, go on position by position: the names 32, 64 and
+   68 bytes further on are joined to a position's own, and Spark sorts by the joined name and the place. All places of a name
+   but the first are repeated. The threshold is reached, so no round follows.
 
 Names that decide have 104 bits or more. Rows that many places share are pre-aggregated: a task batch sends one place of each
 name and settles the others itself. Rows of one minimiser in very many stretches are spread by the name of the stretch: a task
@@ -34,6 +37,8 @@ LENGTH, GRAM = 100, 32
 OFFSETS = (0, 32, 64, 68)
 _SPAN = LENGTH - GRAM + 1
 _INDEX = np.uint64((1 << 31) - 1)
+#: Positions of a block; bytes of texts that are named at once.
+BLOCK, GROUP = 8, 1 << 20
 #: Rows of a stretch table: by anchor, by stretch (its anchor has others), or only the news that an anchor has others.
 BY_ANCHOR, BY_STRETCH, NEWS = 0, 1, 2
 
@@ -58,7 +63,18 @@ def gram_hashes(data: np.ndarray, factor: int = 0x2545F4914F6CDD1D) -> np.ndarra
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of all texts: number of the text, first position and number of further positions, anchor's offset and hash, of every
-    stretch, in order."""
+    stretch, in order. Texts are worked on in groups of about ``GROUP`` bytes: a position takes some dozen bytes meanwhile."""
+    parts, begin, size = [], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= GROUP or i == len(texts) - 1:
+            of, *rest = _stretches(texts[begin : i + 1])
+            parts.append((of + begin, *rest))
+            begin, size = i + 1, 0
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else _stretches([])
+
+
+def _stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -87,9 +103,9 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def stretch_rows(docs: DataFrame) -> DataFrame:
-    """One row a stretch and task batch: ``k1`` (40 bits of the anchor's hash, 24 of the stretch's), ``k2`` (64 more of it),
-    ``doc_id``, ``h``, ``at`` (position and further positions), ``kind``; ``repeated`` where an earlier one stands in the
-    same batch."""
+    """One row a stretch: ``k1`` (40 bits of the anchor's hash, 24 of the stretch's), ``k2`` (64 more of it), ``doc_id``, ``h``,
+    ``at`` (position, offset of the anchor, further positions), ``kind``; ``repeated`` where an equal one stands earlier in
+    the same batch."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         order = np.array(sorted(range(batch.num_rows), key=_order(batch)))
@@ -98,33 +114,65 @@ def stretch_rows(docs: DataFrame) -> DataFrame:
         texts = [data[i] or b"" for i in order]
         of, first, more, offset, anchor = stretches(texts)
         digest = xxhash.xxh3_128_digest
-        raw = b"".join([digest(texts[t][s : s + m + LENGTH], o) for t, s, m, o in zip(of.tolist(), first.tolist(), more.tolist(), offset.tolist(), strict=True)])
-        words = np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
-        k1 = (anchor & ~np.uint64((1 << 24) - 1)) | (words[:, 0] & np.uint64((1 << 24) - 1))
-        k2 = words[:, 1]
-        by = np.lexsort((np.arange(len(k1)), k2, k1))
-        same = np.zeros(len(k1), dtype=bool)
-        same[by[1:]] = (k1[by[1:]] == k1[by[:-1]]) & (k2[by[1:]] == k2[by[:-1]])
-        own = by[~same[by]]  # one of each stretch, sorted by anchor
-        many = np.zeros(len(k1), dtype=bool)
-        twin = (k1[own[1:]] ^ k1[own[:-1]]) >> np.uint64(24) == 0
-        many[own[1:][twin]] = many[own[:-1][twin]] = True
-        kind = np.where(many, BY_STRETCH, BY_ANCHOR).astype(np.int8)
-        heads = own[1:][twin & np.concatenate([[True], ~twin[:-1]])] if len(own) > 1 else own[:0]
-        rows = np.concatenate([np.arange(len(k1)), heads]).astype(np.int64)
-        kind = np.concatenate([kind, np.full(len(heads), NEWS, dtype=np.int8)])
-        ids = pa.array(of[rows], pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(k1[rows].view(np.int64)), pa.array(k2[rows].view(np.int64)), docs_.take(ids), h.take(ids),
-                pa.array(first[rows] << 8 | more[rows]), pa.array(kind), pa.array(np.concatenate([same, np.zeros(len(heads), dtype=bool)])),
-            ],
-            ["k1", "k2", "doc_id", "h", "at", "kind", "repeated"],
-        )
+        names = [digest(texts[t][s : s + m + LENGTH], o) for t, s, m, o in zip(of.tolist(), first.tolist(), more.tolist(), offset.tolist(), strict=True)]
+        return _settled(anchor, names, of, first << 16 | offset << 8 | more, docs_, h)
 
     return common.map_batches(docs, work, "k1 long, k2 long, doc_id long, h long, at long, kind byte, repeated boolean")
 
 
+def _settled(key: np.ndarray, names: list[bytes], of: np.ndarray, at: np.ndarray, docs: pa.Array, h: pa.Array) -> pa.RecordBatch:
+    """Rows of one batch, in the order of places: equal ones after the first are repeated; where a key has several names, its
+    rows are sent by name, and one row tells the key's own task."""
+    words = np.frombuffer(b"".join(names), dtype="<u8").reshape(-1, 2)
+    low = np.uint64((1 << 24) - 1)
+    k1, k2 = key & ~low | words[:, 0] & low, words[:, 1]
+    by = np.lexsort((np.arange(len(k1)), k2, k1))
+    same = np.zeros(len(k1), dtype=bool)
+    same[by[1:]] = (k1[by[1:]] == k1[by[:-1]]) & (k2[by[1:]] == k2[by[:-1]])
+    own = by[~same[by]]  # one of each name, sorted by key
+    many = np.zeros(len(k1), dtype=bool)
+    twin = (k1[own[1:]] ^ k1[own[:-1]]) >> np.uint64(24) == 0
+    many[own[1:][twin]] = many[own[:-1][twin]] = True
+    heads = own[1:][twin & np.concatenate([[True], ~twin[:-1]])] if len(own) > 1 else own[:0]
+    rows = np.concatenate([np.arange(len(k1)), heads]).astype(np.int64)
+    kind = np.concatenate([np.where(many, BY_STRETCH, BY_ANCHOR), np.full(len(heads), NEWS)]).astype(np.int8)
+    ids = pa.array(of[rows], pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(k1[rows].view(np.int64)), pa.array(k2[rows].view(np.int64)), docs.take(ids), h.take(ids), pa.array(at[rows]),
+            pa.array(kind), pa.array(np.concatenate([same, np.zeros(len(heads), dtype=bool)])),
+        ],
+        ["k1", "k2", "doc_id", "h", "at", "kind", "repeated"],
+    )
+
+
+def block_rows(left: DataFrame) -> DataFrame:
+    """Rows as of :func:`stretch_rows` for the blocks of the stretches ``left`` over (``doc_id``, ``h``, ``text``, ``ats``)."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        order = np.array(sorted(range(batch.num_rows), key=_order(batch)))
+        docs, h = batch.column("doc_id").take(pa.array(order)), batch.column("h").take(pa.array(order))
+        texts, ats = common.texts_bytes(batch.column("text")), batch.column("ats").to_pylist()
+        of, at, cores, names = [], [], [], []
+        for i, row in enumerate(order.tolist()):
+            text = texts[row]
+            for packed in sorted(ats[row]):
+                first, offset, more = packed >> 16, packed >> 8 & 255, packed & 255
+                anchor, p, stop = first + offset, first, first + more
+                while p <= stop:
+                    block = (anchor - p) // BLOCK
+                    last = min(stop, anchor - block * BLOCK)
+                    core = text[anchor - block * BLOCK : anchor - block * BLOCK - BLOCK + 1 + LENGTH]
+                    of.append(i)
+                    at.append(p << 16 | last - p)
+                    cores.append(xxhash.xxh3_64_intdigest(core, block))
+                    names.append(xxhash.xxh3_128_digest(text[p : last + LENGTH], (anchor - p) << 8 | block))
+                    p = last + 1
+        return _settled(np.array(cores, dtype=np.uint64), names, np.array(of, dtype=np.int64), np.array(at, dtype=np.int64), docs, h)
+
+    return common.map_batches(left, work, "k1 long, k2 long, doc_id long, h long, at long, kind byte, repeated boolean")
+
+
 def _order(batch: pa.RecordBatch):
     ids, h = batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()
     return lambda i: (ids[i] is None, ids[i] or 0, h[i])
@@ -176,7 +224,7 @@ def position_rows(left: DataFrame) -> DataFrame:
         of, begin, size, slices = [], [], [], []
         for i, row in enumerate(order.tolist()):
             for at in sorted(ats[row]):
-                first, more = at >> 8, at & 255
+                first, more = at >> 16, at & 255
                 of.append(i)
                 begin.append(first)
                 size.append(more + 1)
@@ -255,11 +303,16 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     judged = common.stored(sorted_out(stretch_rows(rows)), "stretches")
     common.release(spark)
-    left = judged.filter(~F.col("repeated")).groupBy("doc_id", "h").agg(F.collect_list("at").alias("ats"))
-    texts = rows.join(left.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "ats"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")))
-    found = common.stored(repeated_positions(position_rows(texts.select("doc_id", "h", "text", "ats"))), "positions")
+
+    def with_texts(left: DataFrame) -> DataFrame:
+        ats = left.filter(~F.col("repeated")).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list("at").alias("ats"))
+        return rows.join(ats, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", "text", "ats")
+
+    blocks = common.stored(sorted_out(block_rows(with_texts(judged))), "blocks")
+    common.release(spark)
+    found = common.stored(repeated_positions(position_rows(with_texts(blocks))), "positions")
     common.release(spark)
-    whole = judged.filter("repeated").select("doc_id", "h", F.shiftright("at", 8).alias("first"), F.col("at").bitwiseAND(255).alias("more"))
+    whole = judged.union(blocks).filter("repeated").select("doc_id", "h", F.shiftright("at", 16).alias("first"), F.col("at").bitwiseAND(255).alias("more"))
     return whole.union(found).groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "more")).alias("starts"))
 
 

@@ -5,8 +5,8 @@ words that training saw often; every way to cut the word into units counts. A un
 a text add up to one, and a forward recursion in log space sums over all cuts. A text's probability is the product over its
 words, times that of the end.
 
-The probabilities come from the training rows. The pieces' existing scores (ranks) give the first weights; one step of
-expectation and maximisation over the table of all distinct training words, on its tasks, gives the final ones. A frequent
+The probabilities come from the training rows. The pieces' existing scores (ranks) give the first weights; ``ROUNDS`` steps of
+expectation and maximisation over the table of all distinct training words, on its tasks, give the final ones. A frequent
 word leaves ``DISCOUNT`` of its occurrences to be spelled by pieces, all others are spelled altogether: so pieces learn from
 words as they look when they are new, and words never seen keep a fair share.
 
@@ -26,6 +26,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ FREQUENT, FREQUENT_BYTES = 200_000, 64
 #: Occurrences of a frequent word that pieces spell; pseudo-count of every piece; distinct words a task counts before it hands
 #: them on.
 DISCOUNT, PSEUDO, HELD_WORDS = 0.75, 0.1, 200_000
+#: Steps of expectation and maximisation.
+ROUNDS = 2
 #: Up to so many bytes a word's posterior is worked out with plain probabilities: they can't underflow.
 PLAIN_BYTES = 40
 
@@ -164,7 +167,24 @@ class Model:
         self.__dict__ |= parts
 
 
-def train(texts: DataFrame, path: str) -> Model:
+def _expected(counts: DataFrame, units: list[bytes], p: np.ndarray, whole: Broadcast) -> np.ndarray:
+    """Expected uses of each unit, and ``PSEUDO``, when the words of ``counts`` are spelled under the probabilities ``p``."""
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, frequent, expected = Lattice(units, p, {}), whole.value, np.zeros(len(units))
+        for batch in batches:
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                lattice.posterior(word, DISCOUNT if word in frequent else n, expected)
+        used = np.flatnonzero(expected)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(expected[used], pa.float64())], ["unit", "n"])
+
+    out = np.full(len(units), PSEUDO)
+    for r in counts.mapInArrow(expect, "unit int, n double").groupBy("unit").agg(F.sum("n").alias("n")).collect():
+        out[r["unit"]] += r["n"]
+    return out
+
+
+def train(texts: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
     """Counts and unit probabilities from all rows of ``texts`` (``text``); null texts are empty ones. The driver holds the
     vocabulary's units and the frequent words, both of bounded number."""
     spark = common.ready(texts.sparkSession)
@@ -173,20 +193,11 @@ def train(texts: DataFrame, path: str) -> Model:
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = frequent_words(counts)
     units, weights = vocabulary(path)
-    first = np.array(weights) / sum(weights)
+    unit = np.array(weights) / sum(weights)
     shared = spark.sparkContext.broadcast(set(frequent))
-
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, whole, expected = Lattice(units, first, {}), shared.value, np.zeros(len(units))
-        for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                lattice.posterior(word, DISCOUNT if word in whole else n, expected)
-        used = np.flatnonzero(expected)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(expected[used], pa.float64())], ["unit", "n"])
-
-    unit, word = np.full(len(units), PSEUDO), {w: n - DISCOUNT for w, n in frequent.items()}
-    for r in counts.mapInArrow(expect, "unit int, n double").groupBy("unit").agg(F.sum("n").alias("n")).collect():
-        unit[r["unit"]] += r["n"]
+    for _ in range(rounds):
+        unit = _expected(counts, units, unit / unit.sum(), shared)
+    word = {w: n - DISCOUNT for w, n in frequent.items()}
     end = n_texts + PSEUDO
     mass = unit.sum() + sum(word.values()) + end
     return Model(

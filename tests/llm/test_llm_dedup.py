@@ -266,6 +266,58 @@ def test_paragraph_rows(spark, block):
     assert texts[4] is None and texts[5] == "" and texts[14] == "x" * 5000 and "passage3" not in texts[11]
 
 
+def windows(text, size=50):
+    words = text.lower().split()
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def removed_share(spark, docs, passages):
+    """Of the word positions of ``passages`` (one for each document), how many are cut out; every later document that shares
+    50 words in a row with an earlier one must lose some. ``docs``: texts, the first of each passage before the others."""
+    rows = paragraphs.cleaned(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    after, seen, all_, left = {r.doc_id: r.text for r in rows}, set(), 0, 0
+    for i, text in enumerate(docs):
+        own = windows(text)
+        if own & seen:
+            assert len(after[i]) < len(text), (i, text)
+            words = collections.Counter(passages[i].split())
+            all_ += words.total()
+            left += (words & collections.Counter(after[i].split())).total()
+        else:
+            assert after[i] == text
+        seen |= own
+    return 1 - left / all_
+
+
+@pytest.mark.parametrize("kind", ["sentences", "bare"])
+def test_shared_passages_are_met_wherever_they_start(spark, kind):
+    """Against raw shared 50-word windows, without ``spans``: each passage stands in three texts behind other words."""
+    draw, count = random.Random(kind), iter(range(10**9))
+    ends = [".", "!", "?", "", "", "", "", "", "", "", "", ""] if kind == "sentences" else [""]
+    some = lambda n: [f"w{next(count)}x{draw.randrange(10**6)}" + draw.choice(ends) for _ in range(n)]
+    docs, passages = [], []
+    for _ in range(100):
+        words = some(60)
+        lines = [words[i : i + 5] for i in range(0, 60, 5)]
+        passage = "\n".join(map(" ".join, lines)) if kind == "verse" else " ".join(words)
+        for _ in range(3):
+            before, after = some(draw.randrange(1, 40)), some(draw.randrange(1, 40))
+            docs.append(" ".join(before) + ("\n" if kind == "verse" else " ") + passage + ("\n" if kind == "verse" else " ") + " ".join(after))
+            passages.append(passage)
+    assert removed_share(spark, docs, passages) > 0.7
+
+
+def test_scripts_without_blanks():
+    draw = random.Random(1)
+    signs = lambda n: "".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+    for _ in range(100):
+        passage = signs(60)
+        a, b = ((signs(draw.randrange(1, 30)) + passage + signs(draw.randrange(1, 30))).encode() for _ in range(2))
+        pieces = [{data[s:e] for s, e in paragraphs.spans(data)} for data in (a, b)]
+        assert sum(map(len, pieces[0] & pieces[1])) > 60
+        assert b"".join(a[s:e] for s, e in paragraphs.spans(a)) == a and a.decode() and all(p.decode() for p in pieces[0])
+
+
 def test_paragraphs_of_nothing(spark):
     assert paragraphs.report(corpus.none(spark)).count() == 0
 

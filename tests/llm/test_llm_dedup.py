@@ -289,7 +289,7 @@ def removed_share(spark, docs, passages):
     return 1 - left / all_
 
 
-@pytest.mark.parametrize("kind", ["sentences", "bare"])
+@pytest.mark.parametrize("kind", ["sentences", "bare", "verse"])
 def test_shared_passages_are_met_wherever_they_start(spark, kind):
     """Against raw shared 50-word windows, without ``spans``: each passage stands in three texts behind other words."""
     draw, count = random.Random(kind), iter(range(10**9))
@@ -307,7 +307,7 @@ def test_shared_passages_are_met_wherever_they_start(spark, kind):
     assert removed_share(spark, docs, passages) > 0.7
 
 
-def test_scripts_without_blanks():
+def test_scripts_without_blanks_and_rows_of_short_lines():
     draw = random.Random(1)
     signs = lambda n: "".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(n))
     for _ in range(100):
@@ -316,6 +316,12 @@ def test_scripts_without_blanks():
         pieces = [{data[s:e] for s, e in paragraphs.spans(data)} for data in (a, b)]
         assert sum(map(len, pieces[0] & pieces[1])) > 60
         assert b"".join(a[s:e] for s, e in paragraphs.spans(a)) == a and a.decode() and all(p.decode() for p in pieces[0])
+    items = b"- one two\n- three\n\n- four five\n- six seven eight\n"
+    assert [items[s:e] for s, e in paragraphs.spans(items)] == [items[:-1]]
+    assert paragraphs.without(b"a\n" + b"x y z\n" * 2, []) == b"a\n" + b"x y z\n" * 2 and paragraphs.spans(b"one two\nthree\n") == []
+    texts = [items, None, b"", a, items * 30, b" \n", b"x " * 3000]
+    assert paragraphs.spans_of(texts) == [paragraphs.spans(t or b"") for t in texts]
+    assert all(len((items * 30)[s:e].split()) >= 8 for s, e in paragraphs.spans(items * 30))
 
 
 def test_paragraphs_of_nothing(spark):

@@ -1,18 +1,18 @@
 """Language-model scores by the likelihood of a subword lattice.
 
 A word is the bytes of ``" " + word``. Its units are the pieces of an existing vocabulary (and all single bytes), plus whole
-words that training saw often; every way to cut the word into units counts. A unit has a probability, all units and the end of
+words that training saw; every way to cut the word into units counts. A unit has a probability, all units and the end of
 a text add up to one, and a forward recursion in log space sums over all cuts. A text's probability is the product over its
 words, times that of the end.
 
 The probabilities come from the training rows. The pieces' existing scores (ranks) give the first weights; ``ROUNDS`` steps of
-expectation and maximisation over the table of all distinct training words, on its tasks, give the final ones. A frequent
-word leaves ``DISCOUNT`` of its occurrences to be spelled by pieces, all others are spelled altogether: so pieces learn from
-words as they look when they are new, and words never seen keep a fair share.
+expectation and maximisation over the table of all distinct training words, on its tasks, give the final ones. Each training
+word leaves ``DISCOUNT`` of its occurrences to be spelled by pieces: so pieces learn from words as they look when they are new,
+and words never seen keep a fair share.
 
-Beside the score stands a smoothed word unigram as a base. Its counts are looked up from a bounded table of frequent words in
-the tasks, and for all other words by a join with the stored table of counts; after that join equal words stand together, and
-each is spelled once.
+Beside the score stands a smoothed word unigram as a base. Both take a word's count from a bounded table of frequent words in
+the tasks, and for all other words from a join with the stored table of counts, with the same result; after that join equal
+words stand together, and each is spelled once.
 """
 
 from __future__ import annotations
@@ -26,15 +26,14 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm import common
 
-#: The most frequent words, at most so many and of so many bytes, are units of their own and known in every task.
+#: The most frequent words, at most so many and of so many bytes, are known in every task and spare the join.
 FREQUENT, FREQUENT_BYTES = 200_000, 64
-#: Occurrences of a frequent word that pieces spell; pseudo-count of every piece; distinct words a task counts before it hands
+#: Occurrences of a training word that pieces spell; pseudo-count of every piece; distinct words a task counts before it hands
 #: them on.
 DISCOUNT, PSEUDO, HELD_WORDS = 0.75, 0.1, 200_000
 #: Steps of expectation and maximisation.
@@ -93,8 +92,8 @@ class Lattice:
         for s, e, i in spans:
             expected[i] += n * math.exp(ahead[s] + self.log[i] + behind[e] - ahead[size])
 
-    def log10(self, word: bytes) -> float:
-        """log10 of the word's probability, summed over all cuts."""
+    def log10(self, word: bytes, own: float = 0.0) -> float:
+        """log10 of the word's probability, summed over all cuts; ``own``: that of the whole word, if ``word`` doesn't tell."""
         size, log = len(word) + 1, self.log
         ahead = [-math.inf] * (size + 1)
         ahead[0] = 0.0
@@ -103,7 +102,7 @@ class Lattice:
             new, old = ahead[end + 1 - length] + log[i], ahead[end + 1]
             ahead[end + 1] = new + log1p(exp(old - new)) if new > old else old + log1p(exp(new - old))
         total = ahead[size]
-        if own := self.word.get(word):
+        if own := self.word.get(word, own):
             total = log_add(total, math.log(own))
         return total / math.log(10)
 
@@ -161,25 +160,27 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
 
 class Model:
     """What training gives: ``counts`` (a stored table), ``total`` and ``distinct`` tokens, ``texts`` (ends), ``frequent``
-    counts, and the probabilities of ``units``, of frequent ``words`` and of the ``end``."""
+    counts, the probabilities of ``units``, of frequent ``words`` (under None of all other words together) and of the ``end``, and
+    the ``mass`` by which counts are divided."""
 
     def __init__(self, **parts):
         self.__dict__ |= parts
 
 
-def _expected(counts: DataFrame, units: list[bytes], p: np.ndarray, whole: Broadcast) -> np.ndarray:
-    """Expected uses of each unit, and ``PSEUDO``, when the words of ``counts`` are spelled under the probabilities ``p``."""
+def _expected(counts: DataFrame, units: list[bytes], p: np.ndarray) -> np.ndarray:
+    """Expected uses of each unit, and ``PSEUDO``, when ``DISCOUNT`` of each word of ``counts`` is spelled under the
+    probabilities ``p``."""
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, frequent, expected = Lattice(units, p, {}), whole.value, np.zeros(len(units))
+        lattice, expected = Lattice(units, p, {}), np.zeros(len(units))
         for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                lattice.posterior(word, DISCOUNT if word in frequent else n, expected)
+            for word in batch.column("word").to_pylist():
+                lattice.posterior(word, DISCOUNT, expected)
         used = np.flatnonzero(expected)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(expected[used], pa.float64())], ["unit", "n"])
 
     out = np.full(len(units), PSEUDO)
-    for r in counts.mapInArrow(expect, "unit int, n double").groupBy("unit").agg(F.sum("n").alias("n")).collect():
+    for r in counts.select("word").mapInArrow(expect, "unit int, n double").groupBy("unit").agg(F.sum("n").alias("n")).collect():
         out[r["unit"]] += r["n"]
     return out
 
@@ -187,22 +188,22 @@ def _expected(counts: DataFrame, units: list[bytes], p: np.ndarray, whole: Broad
 def train(texts: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
     """Counts and unit probabilities from all rows of ``texts`` (``text``); null texts are empty ones. The driver holds the
     vocabulary's units and the frequent words, both of bounded number."""
-    spark = common.ready(texts.sparkSession)
+    common.ready(texts.sparkSession)
     counts = common.stored(word_counts(texts), "word-counts")
     n_texts = texts.count()
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = frequent_words(counts)
     units, weights = vocabulary(path)
     unit = np.array(weights) / sum(weights)
-    shared = spark.sparkContext.broadcast(set(frequent))
     for _ in range(rounds):
-        unit = _expected(counts, units, unit / unit.sum(), shared)
+        unit = _expected(counts, units, unit / unit.sum())
     word = {w: n - DISCOUNT for w, n in frequent.items()}
     end = n_texts + PSEUDO
-    mass = unit.sum() + sum(word.values()) + end
+    mass = unit.sum() + (n_words - DISCOUNT * distinct) + end
+    words = {w: n / mass for w, n in word.items()} | {None: (n_words - DISCOUNT * distinct - sum(word.values())) / mass}
     return Model(
         counts=counts, total=n_words + n_texts, distinct=distinct + (n_texts > 0), texts=n_texts, frequent=frequent,
-        units=units, unit=unit / mass, words={w: n / mass for w, n in word.items()}, end=end / mass,
+        units=units, unit=unit / mass, words=words, end=end / mass, mass=mass,
     )
 
 
@@ -217,7 +218,7 @@ def scores(docs: DataFrame, model: Model, passed: list[Column] | None = None) ->
     scale = model.total + 0.5 * (model.distinct + 1)
     lattice = Lattice(model.units, model.unit, model.words)
     known = spark.sparkContext.broadcast({w: (math.log10((n + 0.5) / scale), lattice.log10(w)) for w, n in model.frequent.items()})
-    units, unit, end = model.units, model.unit, math.log10(model.end)
+    units, unit, end, mass = model.units, model.unit, math.log10(model.end), model.mass
     end_base, end_known, unknown = math.log10((model.texts + 0.5) / scale), int(model.texts > 0), math.log10(0.5 / scale)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(passed or []), F.col("text").cast("string").alias("text"))
     kept = rows.columns[:-1]
@@ -243,12 +244,12 @@ def scores(docs: DataFrame, model: Model, passed: list[Column] | None = None) ->
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, out, kinds)], [*kept, "n_tokens", "_known", "_base", "_score", "_rare", "_times"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, last, value = Lattice(units, unit, {}), None, 0.0  # words outside the frequent ones are spelled
+        lattice, last, value = Lattice(units, unit, {}), None, 0.0
         for batch in batches:
             values = []
-            for word in batch.column("word").to_pylist():  # equal words stand together after the join
-                if word != last:
-                    last, value = word, lattice.log10(word)
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if word != last:  # equal words stand together after the join
+                    last, value = word, lattice.log10(word, 0.0 if n is None else (n - DISCOUNT) / mass)
                 values.append(value)
             times = batch.column("m").to_numpy()
             counts = batch.column("n").to_numpy(zero_copy_only=False).astype(np.float64)

@@ -77,6 +77,22 @@ def test_base_scores(spark, monkeypatch, frequent):
     assert math.isclose(mass, 1.0)
 
 
+def test_the_table_of_frequent_words_changes_no_score(spark, monkeypatch):
+    frame, plain, got = corpus.docs(spark), lattice_lm.frequent_words, []
+    for frequent in (lattice_lm.FREQUENT, 5, 0):
+        monkeypatch.setattr(lattice_lm, "frequent_words", lambda counts, most=frequent: plain(counts, most))
+        model = lattice_lm.train(frame.filter("doc_id % 2 = 1"), PIECES)
+        got.append(sorted((r.doc_id or -1, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lattice_lm.scores(frame, model).collect()))
+        assert math.isclose(model.unit.sum() + sum(model.words.values()) + model.end, 1.0)
+    assert got[0] == got[1] == got[2]
+    word = b"w1x1"  # a training word outside the table has its own share beside its pieces'
+    n = next(r.n for r in model.counts.collect() if bytes(r.word) == word)
+    pieces = lattice_lm.Lattice(model.units, model.unit, {})
+    whole = 10 ** pieces.log10(word) + (n - lattice_lm.DISCOUNT) / model.mass
+    one = lattice_lm.scores(spark.createDataFrame([(1, word.decode())], "doc_id long, text string"), model).first()
+    assert math.isclose(one.score, math.log10(whole) + math.log10(model.end), rel_tol=1e-9)
+
+
 def test_language_model_without_training_rows(spark):
     model = lattice_lm.train(corpus.none(spark), PIECES)
     rows = lattice_lm.scores(corpus.docs(spark), model).collect()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import byte_bpe, common, decontamination, language_id, lattice_lm, paragraphs, quality_rules, repeated_strings, sequence_files, simhash, token_counts
+from chronoweave.llm import byte_bpe, collocations, common, decontamination, language_id, lattice_lm, paragraphs, quality_rules, repeated_strings, sequence_files, simhash, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +172,37 @@ SELECT f.*, NOT base_failed AND coalesce(near.ok, true) AS kept FROM f LEFT JOIN
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS id, lang, w FROM (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)) WHERE len(w) > 0
+), totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM p GROUP BY lang),
+grams AS (
+  SELECT lang, w[i : i + k - 1] AS g, k, count(*) AS f FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p), range(1, 6) AS t(k)
+  WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+), within AS (
+  SELECT lang, part, max(f) AS most FROM (
+    SELECT lang, g[1 : k - 1] AS part, f FROM grams WHERE k > 2 UNION ALL SELECT lang, g[2 : k] AS part, f FROM grams WHERE k > 2) GROUP BY ALL
+), own AS (
+  SELECT o.lang, o.g, o.f AS a, o.k AS words FROM grams o LEFT JOIN within ON within.lang = o.lang AND within.part = o.g
+  WHERE o.k > 1 AND (most IS NULL OR most < o.f)
+), cuts AS (SELECT *, unnest(range(1, words)) AS cut FROM own),
+scored AS (
+  SELECT c.lang, c.g, c.a, cut, x.f AS l, y.f AS r, n, CAST((1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN grams x ON x.lang = c.lang AND x.g = c.g[1 : cut] JOIN grams y ON y.lang = c.lang AND y.g = c.g[cut + 1 : words]
+  JOIN totals t ON t.lang = c.lang
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM best QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_lattice_lm": (op1_lattice_lm, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
@@ -183,4 +214,5 @@ QUERIES = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_repeated_strings": (op9_repeated_strings, OP9_SQL),
     "op10_quality_rules": (op10_quality_rules, OP10_SQL),
+    "op13_collocations": (op13_collocations, OP13_SQL),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import byte_bpe, collocations, common, decontamination, language_id, lattice_lm, paragraphs, quality_rules, repeated_strings, sequence_files, simhash, token_counts
+from chronoweave.llm import byte_bpe, cap_filters, collocations, common, decontamination, language_id, lattice_lm, paragraphs, quality_rules, ranked_search, repeated_strings, sequence_files, simhash, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +172,55 @@ SELECT f.*, NOT base_failed AND coalesce(near.ok, true) AS kept FROM f LEFT JOIN
 """
 
 
+def op11_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP11_SQL = """
+WITH RECURSIVE e AS (SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (
+  SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS size FROM e
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.93
+), ends AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT r.x, b.y FROM reach r JOIN ends b ON b.x = r.y),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM ends GROUP BY x)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM e LEFT JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id
+"""
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search.search(ranked_search.index(documents(spark, sf_dir), k=50), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), s AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d WHERE len(w) > 0),
+q AS (
+  SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark
+), p AS (
+  SELECT row, doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY row, doc_id, term
+), f AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term
+), hits AS (
+  SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY item_id, row, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM hits WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
@@ -214,5 +263,7 @@ QUERIES = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_repeated_strings": (op9_repeated_strings, OP9_SQL),
     "op10_quality_rules": (op10_quality_rules, OP10_SQL),
+    "op11_cap_filters": (op11_cap_filters, OP11_SQL),
+    "op12_ranked_search": (op12_ranked_search, OP12_SQL),
     "op13_collocations": (op13_collocations, OP13_SQL),
 }

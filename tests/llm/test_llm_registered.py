@@ -32,7 +32,7 @@ def test_query_equals_sql(spark, small, name):
 
 def test_entry_registers_all():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert __spark_entry__.oracle_sql().keys() <= names.keys()
 
 
@@ -93,4 +93,5 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
 def test_queries_of_an_empty_table(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert QUERIES[name][0](spark, str(tmp_path)).count() == 0

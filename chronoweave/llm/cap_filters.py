@@ -8,8 +8,8 @@ hundreds of words, and :meth:`Code.decode` lists all that a vector passes withou
 the partial sums that can still reach the threshold, and takes the last block's words from a sorted list.
 
 The code fits the largest group: the larger it is, the narrower the caps, so that a cap holds about ``CAP`` unrelated vectors at any
-size. The number of words is raised until, of ``TRIED`` random pairs at exactly the least cosine, a share of ``RECALL`` have a filter in
-common; nearer pairs are found more often. Both depend only on the group's size, the dimension and the seed.
+size. Codes, each with a rotation of its own, are added until, of ``TRIED`` random pairs at exactly the least cosine, a share of ``RECALL``
+have a filter in common; nearer pairs are found more often. Both depend only on the group's size, the dimension and the seed.
 
 Every pair found is compared exactly (in doubles) and counted once, in the first filter that its vectors share. Pairs are not
 emitted: a group of a filter gives each vector's number of links and one edge to a root of its spanning forest.
@@ -28,7 +28,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,9 @@ from pyspark.sql import functions as F
 from chronoweave.llm import common
 
 #: Share of pairs at the least cosine that must have a filter in common, and the pairs it is measured on.
-RECALL, TRIED = 0.998, 4000
-#: Unrelated vectors of a group that a cap holds on average.
-CAP = 8
+RECALL, TRIED = 0.99, 4000
+#: Unrelated vectors of a group that a cap holds on average, and directions of one code that a vector passes on average.
+CAP, PASSES = 32, 2
 #: Vectors of a filter that are compared at once.
 BLOCK = 1024
 SEED = 20
@@ -80,11 +81,12 @@ class Code:
         for b in range(blocks):
             code = draw.standard_normal((words, self.cuts[b + 1] - self.cuts[b]))
             self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True) / math.sqrt(blocks))
-        # the share of random vectors beyond the threshold is the wanted one
-        probe = np.random.default_rng((seed, dim)).standard_normal((2000, dim))
-        scores = self.scores(probe / np.linalg.norm(probe, axis=1, keepdims=True))
-        some = reduce(lambda a, s: a + s, (s[:, np.random.default_rng((seed, b)).integers(0, words, 500)] for b, s in enumerate(scores)))
-        self.least = float(np.quantile(some, 1 - tail))
+        # from the normal tail down, until random vectors pass ``PASSES`` directions on average
+        probe = np.random.default_rng((seed, dim)).standard_normal((300, dim))
+        probe /= np.linalg.norm(probe, axis=1, keepdims=True)
+        self.least = NormalDist().inv_cdf(1 - tail) / math.sqrt(size)
+        while len(self.decode(probe)[0]) < PASSES * len(probe):
+            self.least *= 0.98
 
     def scores(self, units: np.ndarray) -> list[np.ndarray]:
         turned = _rotated(units, self.seed)
@@ -112,35 +114,64 @@ class Code:
         return row, name * self.words + order[row, at]
 
 
-def shared(code: Code, cosine: float, tried: int = TRIED) -> float:
-    """The share of random pairs at ``cosine`` that have a filter in common."""
-    draw = np.random.default_rng(code.seed + 1)
-    x, z = draw.standard_normal((2, tried, code.dim))
+class Codes:
+    """Several product codes, each with a rotation of its own, so that a pair that one code divides has new chances in the others."""
+
+    def __init__(self, dim: int, blocks: int, words: int, tail: float):
+        self.dim, self.span = dim, words**blocks
+        self.make = lambda k: Code(dim, blocks, words, tail, SEED + 7 * k)
+        self.codes: list[Code] = []
+
+    def grow(self) -> Code:
+        self.codes.append(self.make(len(self.codes)))
+        return self.codes[-1]
+
+    def decode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``row``, ``filter`` of all directions of all codes that the rows of ``units`` pass."""
+        found = [code.decode(units) for code in self.codes]
+        return np.concatenate([row for row, _ in found]), np.concatenate([name + k * self.span for k, (_, name) in enumerate(found)])
+
+
+def pairs_at(dim: int, cosine: float, tried: int = TRIED, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors with this cosine."""
+    draw = np.random.default_rng(seed + 1)
+    x, z = draw.standard_normal((2, tried, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z -= (z * x).sum(axis=1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    found = 0
-    for low in range(0, tried, 500):
-        a, b = x[low : low + 500], z[low : low + 500]
-        left, right = code.decode(a), code.decode(cosine * a + math.sqrt(1 - cosine**2) * b)
-        span = code.words**code.blocks
-        found += len(np.unique(np.intersect1d(left[0] * span + left[1], right[0] * span + right[1]) // span))
-    return found / tried
+    return x, cosine * x + math.sqrt(1 - cosine**2) * z
+
+
+def shared(code: Code | Codes, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of ``x`` and ``y`` pass a filter together."""
+    met = np.zeros(len(x), bool)
+    for low in range(0, len(x), 500):
+        (i, f), (j, g) = code.decode(x[low : low + 500]), code.decode(y[low : low + 500])
+        span = max(f.max(initial=0), g.max(initial=0)) + 1
+        met[low + np.unique(np.intersect1d(i * span + f, j * span + g) // span)] = True
+    return met
 
 
 @lru_cache(maxsize=64)
-def fitted(dim: int, size: int, cosine: float) -> Code | None:
-    """The code for groups of up to ``size`` vectors; None for fewer than three dimensions, where one filter takes all."""
+def fitted(dim: int, size: int, cosine: float) -> Codes | None:
+    """The codes for groups of up to ``size`` vectors; None for fewer than three dimensions, where one filter takes all.
+
+    A code has ``PASSES`` times as many directions as it takes to cover a vector once on average; codes are added until the measured
+    share of pairs is reached. Below 16 dimensions blocks are too short for a product, and caps stay wide enough for a plain code.
+    """
     if dim < 3:
         return None
     tail = min(0.02, CAP / max(1, size))
-    blocks = 1 if dim < 8 else 2 if size < 1 << 20 else 3
-    words = max(4, math.ceil((2 / tail) ** (1 / blocks)))
-    while True:
-        code = Code(dim, blocks, words, tail)
-        if shared(code, cosine) >= RECALL:
-            return code
-        words = math.ceil(words * 1.15) + 1
+    if dim < 16:
+        tail = max(tail, 1e-4)
+    blocks = 1 if dim < 16 else 2 if size < 1 << 20 else 3
+    codes = Codes(dim, blocks, math.ceil((PASSES / tail) ** (1 / blocks)), tail)
+    x, y = pairs_at(dim, cosine)
+    met = np.zeros(TRIED, bool)
+    while met.mean() < RECALL:
+        left = np.flatnonzero(~met)
+        met[left] = shared(codes.grow(), x[left], y[left])
+    return codes
 
 
 def usable(vectors: DataFrame) -> DataFrame:

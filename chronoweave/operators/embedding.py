@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,34 +57,33 @@ def render_documents(versions: DataFrame) -> DataFrame:
 def hash_embed(tokens: Column, dims: int) -> Column:
     """Signed feature hashing of words and word pairs into ``dims`` numbers of unit length.
 
-    Places and signs come from :func:`hash_features` in the JVM; a task adds them up for a block of rows
-    at once. A row without features is the first unit vector (a fixed value: stored vectors have it so).
+    Hashes come from the JVM, one number a feature; a task adds them up for a block of rows at once and hands
+    the block back as it is. A row without features is the first unit vector (a fixed value: stored vectors
+    have it so).
     """
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def scatter(slots: pd.Series, signs: pd.Series) -> pd.Series:
-        out: list[np.ndarray] = []
-        for at in range(0, len(slots), SCATTER_ROWS):
-            places, ones = slots.iloc[at : at + SCATTER_ROWS], signs.iloc[at : at + SCATTER_ROWS]
-            block = np.zeros((len(places), dims))
-            rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
-            if len(rows):
-                np.add.at(block, (rows, np.concatenate(places.tolist()).astype(np.int64)), np.concatenate(ones.tolist()))
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def scatter(hashes: pa.Array) -> pa.Array:
+        ends = hashes.offsets.to_numpy()
+        values = hashes.values.to_numpy()
+        parts = []
+        for at in range(0, len(hashes), SCATTER_ROWS):
+            edges = ends[at : at + SCATTER_ROWS + 1]
+            n = len(edges) - 1
+            packed = values[edges[0] : edges[-1]]
+            cells = np.repeat(np.arange(n) * dims, np.diff(edges)) + (packed >> 8) % dims
+            block = np.bincount(cells, weights=np.where(packed & 1, 1.0, -1.0), minlength=n * dims).reshape(n, dims)
             length = np.linalg.norm(block, axis=1)
             block[length == 0, 0] = 1.0
-            out += list((block / np.where(length == 0, 1.0, length)[:, None]).astype(np.float32))
-        return pd.Series(out)
+            parts.append((block / np.where(length == 0, 1.0, length)[:, None]).astype(np.float32).ravel())
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1, dtype=np.int32) * dims), pa.array(flat))
 
-    features = hash_features(tokens, dims)
-    return scatter(F.transform(features, lambda f: f["slot"]), F.transform(features, lambda f: f["sign"]))
+    return scatter(_feature_hashes(tokens))
 
 
-def hash_features(tokens: Column, dims: int) -> Column:
-    """Places and signs of words and word pairs, JVM-side.
-
-    Fixed values, as stored vectors have them: SHA-256, the slot from its first four bytes, the sign from
-    the lowest bit of the fifth.
-    """
+def _feature_hashes(tokens: Column) -> Column:
+    """The first five bytes of the SHA-256 of each word and word pair, as one number: each digest is taken once."""
     pairs = F.when(
         F.size(tokens) > 1,
         F.zip_with(
@@ -93,14 +92,23 @@ def hash_features(tokens: Column, dims: int) -> Column:
             lambda a, b: F.concat(a, F.lit(" "), b),
         ),
     ).otherwise(F.array().cast("array<string>"))
+    return F.transform(
+        F.concat(tokens, pairs), lambda f: F.conv(F.substring(F.sha2(f.cast("binary"), 256), 1, 10), 16, 10).cast("long")
+    )
 
-    def place(feature: Column) -> Column:
-        digest = F.sha2(feature.cast("binary"), 256)
-        slot = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dims
-        odd = F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 1
-        return F.struct(slot.alias("slot"), F.when(odd, 1).otherwise(-1).alias("sign"))
 
-    return F.transform(F.concat(tokens, pairs), place)
+def hash_features(tokens: Column, dims: int) -> Column:
+    """Places and signs of words and word pairs, JVM-side.
+
+    Fixed values, as stored vectors have them: SHA-256, the slot from its first four bytes, the sign from
+    the lowest bit of the fifth.
+    """
+    return F.transform(
+        _feature_hashes(tokens),
+        lambda h: F.struct(
+            (F.shiftright(h, 8) % dims).alias("slot"), F.when(h.bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1).alias("sign")
+        ),
+    )
 
 
 def missing_embeddings(versions: DataFrame, embeddings: DataFrame, model: str, n: int | None = None) -> DataFrame:

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as sc
-from chronoweave.functions.frames import computed_once
+from chronoweave.functions.frames import computed_once, frame_bytes
 from chronoweave.functions.privacy import PRIVACY_ORDER, scope_ordinal, visible_ordinal
 from chronoweave.functions.stemming import search_tokens
 from chronoweave.operators.embedding import build_search_docs
-from chronoweave.functions.frames import frame_bytes
+from chronoweave.operators import segments as sg
 from chronoweave.operators.ordered import keep_top
 from chronoweave.operators.temporal import as_known
 from chronoweave.operators.vectors import nearest_blocks
@@ -237,6 +237,16 @@ def text_hits(
     return top.where(F.col("text_rank") <= F.col("q_pool")).drop("q_pool")
 
 
+def asked_of_segments(questions: DataFrame) -> DataFrame:
+    """Normalised questions with their tokens, as segments read them."""
+    return sg.asked_columns(questions, F.array_distinct(search_tokens(sc.tokens(F.col("query")))))
+
+
+def segment_hits(segments: DataFrame, questions: DataFrame) -> DataFrame:
+    """What :func:`text_hits` gives, from stored segments (:mod:`chronoweave.operators.segments`)."""
+    return sg.text_hits(segments, asked_of_segments(questions), MAX_POOL)
+
+
 def vector_hits(rows: DataFrame, embeddings: DataFrame, questions: DataFrame, *, model: str, dims: int) -> DataFrame:
     """(question_id, organization_id, id, vector_distance, vector_rank), nearest first."""
     us = lambda name: F.unix_micros(name)
@@ -338,17 +348,22 @@ def search(
     revocations: DataFrame | None = None,
     embeddings: DataFrame | None = None,
     docs: DataFrame | None = None,
+    segments: DataFrame | None = None,
     model: str | None = None,
     dims: int = 1536,
 ) -> DataFrame:
     """End to end: one row per question and winner, with its score breakdown.
 
-    Pass ``docs`` (a stored ``build_search_docs`` result) to skip tokenising the ledger again.
+    Pass ``docs`` (a stored ``build_search_docs`` result) to skip tokenising the ledger again, or ``segments``
+    (of the same versions and revocations) to read only what each question may see.
     """
     q, _ = normalize_questions(questions)
     q = cut_lineage(q)  # every branch reads the questions
     rows = searchable(versions, revocations)
-    text = text_hits(rows, build_search_docs(versions) if docs is None else docs, q)
+    if segments is not None:
+        text = segment_hits(segments, q)
+    else:
+        text = text_hits(rows, build_search_docs(versions) if docs is None else docs, q)
     vector = None
     if embeddings is not None:
         vector = vector_hits(rows, embeddings, q, model=model, dims=dims)

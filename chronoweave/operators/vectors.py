@@ -10,10 +10,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chronoweave.functions.frames import frame_bytes
 from chronoweave.operators.ordered import keep_top
@@ -21,59 +19,78 @@ from chronoweave.operators.ordered import keep_top
 QUESTION_BYTES = 32 << 20  # questions up to this measured size are broadcast, more are split into blocks
 BLOCK_ROWS = 20_000
 BLOCK_CELLS = 4_000_000  # distances a task holds at once
+# Decimal places of a distance. Sums differ in their last digits with the shape of a block; rounded, equal vectors tie in any plan.
+PLACES = 9
 
 Mask = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
 
-def _unit(vectors: Sequence) -> np.ndarray:
+def unit(vectors: Sequence) -> np.ndarray:
     m = np.asarray(list(vectors), dtype=np.float64)
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return m / np.where(norm == 0, 1.0, norm)
 
 
+def pick_nearest(
+    ids: np.ndarray, vectors: np.ndarray, who: np.ndarray, asked: np.ndarray, pools, limits: np.ndarray, allowed=None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Who asked, ids and distances of the nearest rows of one block for each question, ties at the edge by id.
+
+    ``who`` numbers the questions whose unit vectors are ``asked``; ``pools`` rows are wanted (of each, or of all alike);
+    ``limits``, by number, is the distance within which a question has already found that many in earlier blocks of the
+    task: what is farther is not worth sending. ``allowed(low, high)`` may mask rows for a slice of the questions.
+    """
+    pools = np.broadcast_to(np.asarray(pools), len(who))
+    out_who, out_ids, out_distances = [who[:0]], [ids[:0]], [np.zeros(0)]
+    step = max(1, BLOCK_CELLS // max(1, len(ids)))
+    for low in range(0, len(who), step):
+        part = asked[low : low + step]
+        distance = np.round(1.0 - vectors @ part.T, PLACES)
+        if allowed is not None:
+            distance = np.where(allowed(low, low + len(part)), distance, np.inf)
+        for j in range(len(part)):
+            column, pool, number = distance[:, j], int(pools[low + j]), who[low + j]
+            near = np.flatnonzero(np.isfinite(column) & (column <= limits[number]))
+            if len(near) >= pool:
+                edge = np.partition(column[near], pool - 1)[pool - 1]
+                near = near[column[near] <= edge]  # ties at the edge are settled by id below
+                limits[number] = edge
+            near = near[np.lexsort((ids[near], column[near]))][:pool]
+            if len(near):
+                out_who.append(np.repeat(who[low + j : low + j + 1], len(near)))
+                out_ids.append(ids[near])
+                out_distances.append(column[near])
+    return np.concatenate(out_who), np.concatenate(out_ids), np.concatenate(out_distances)
+
+
 def _best(
-    rows: pd.DataFrame, questions: pd.DataFrame, group: list[str], mask: Mask | None, limits: dict | None = None
+    rows: pd.DataFrame, by_group: dict, group: list[str], mask: Mask | None, limits: dict | None = None
 ) -> pd.DataFrame:
-    """The ``pool`` nearest rows of each question within the same group, from these blocks.
+    """The ``pool`` nearest rows of each question of the same group. ``by_group``: questions of a group and their unit vectors.
 
-    ``limits`` carries, from block to block of one task, the distance within which a question has
-    already found ``pool`` rows; anything farther is not worth sending.
+    ``limits`` goes from block to block of one task.
     """
     limits = {} if limits is None else limits
-    asked_ids, row_ids, distances = [], [], []
-    by_group = dict(tuple(questions.groupby(group))) if len(questions) else {}
+    names, ids, distances = [], [], []
     for key, part in rows.groupby(group):
-        asked = by_group.get(key)
-        if asked is None:
+        if key not in by_group:
             continue
+        asked, vectors = by_group[key]
         limit = limits.setdefault(key, np.full(len(asked), np.inf))
-        ids, vectors = part["id"].to_numpy(), _unit(part["embedding"])
-        qids, pools = asked["question_id"].to_numpy(), asked["pool"].to_numpy()
-        step = max(1, BLOCK_CELLS // len(part))
-        for at in range(0, len(asked), step):
-            some = asked.iloc[at : at + step]
-            distance = np.round(1.0 - vectors @ _unit(some["vector"]).T, 12)
-            if mask is not None:
-                distance = np.where(mask(part, some), distance, np.inf)
-            for j in range(len(some)):
-                column, pool = distance[:, j], int(pools[at + j])
-                near = np.flatnonzero(np.isfinite(column) & (column <= limit[at + j]))
-                if len(near) >= pool:
-                    edge = np.partition(column[near], pool - 1)[pool - 1]
-                    near = near[column[near] <= edge]  # ties at the edge are settled by id below
-                    limit[at + j] = edge
-                near = near[np.lexsort((ids[near], column[near]))][:pool]
-                if len(near):
-                    asked_ids.append(np.repeat(qids[at + j : at + j + 1], len(near)))
-                    row_ids.append(ids[near])
-                    distances.append(column[near])
-    if asked_ids:
-        return pd.DataFrame(
-            {"question_id": np.concatenate(asked_ids), "id": np.concatenate(row_ids), "distance": np.concatenate(distances)}
+        allowed = None if mask is None else lambda a, b, part=part, asked=asked: mask(part, asked.iloc[a:b])
+        who, found, distance = pick_nearest(
+            part["id"].to_numpy(), unit(part["embedding"]), np.arange(len(asked)), vectors, asked["pool"].to_numpy(), limit, allowed
         )
-    return pd.DataFrame({"question_id": [], "id": [], "distance": []}).astype(
-        {"question_id": questions["question_id"].dtype, "id": rows["id"].dtype, "distance": "float64"}
-    )
+        names.append(asked["question_id"].to_numpy()[who])
+        ids.append(found)
+        distances.append(distance)
+    if names:
+        return pd.DataFrame({"question_id": np.concatenate(names), "id": np.concatenate(ids), "distance": np.concatenate(distances)})
+    return pd.DataFrame({"question_id": np.zeros(0, object), "id": rows["id"].to_numpy()[:0], "distance": np.zeros(0)})
+
+
+def _grouped(questions: pd.DataFrame, group: list[str]) -> dict:
+    return {key: (part, unit(part["vector"])) for key, part in questions.groupby(group)} if len(questions) else {}
 
 
 def nearest_blocks(
@@ -89,8 +106,8 @@ def nearest_blocks(
     """(question_id, id, distance, rank): the ``pool`` nearest rows of the same group per question.
 
     ``rows``: ``id, embedding``, the group columns and what ``mask`` reads; ``questions``:
-    ``question_id, vector, pool``, the group columns and what ``mask`` reads. Distances are rounded to
-    twelve places, so equal vectors tie whatever blocks they were computed in; ties go by id.
+    ``question_id, vector, pool``, the group columns and what ``mask`` reads. Distances are rounded to ``PLACES``, so
+    equal vectors tie whatever blocks they were computed in; ties go by id.
     """
     spark = rows.sparkSession
     id_type = rows.schema["id"].dataType.simpleString()
@@ -102,8 +119,9 @@ def nearest_blocks(
 
         def scan(batches):
             limits: dict = {}
+            by_group = _grouped(shared.value, group)
             for batch in batches:
-                yield _best(batch, shared.value, group, mask, limits)
+                yield _best(batch, by_group, group, mask, limits)
 
         local = rows.mapInPandas(scan, schema)
     else:
@@ -118,7 +136,9 @@ def nearest_blocks(
         r = r.withColumn("__qb", F.col("__b")).drop("__salts", "__b")
         key = [*group, "__qb", "__salt"]
         local = (
-            r.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(lambda left, right: _best(left, right, group, mask), schema)
+            r.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(
+                lambda left, right: _best(left, _grouped(right, group), group, mask), schema
+            )
         )
     pools = questions.groupBy("question_id").agg(F.max("pool").alias("__pool"))
     largest = pools.agg(F.max("__pool")).first()[0] or 0
@@ -131,61 +151,6 @@ def nearest(rows: DataFrame, questions: DataFrame, n: int, dims: int, group: lis
     return nearest_blocks(rows, questions.withColumn("pool", F.lit(n)), group=group, dims=dims)
 
 
-# --- inverted lists ----------------------------------------------------------------------------
-
-MAX_LISTS = 16_384  # bounds the centroid matrix every task receives: 200 MB at 1,536 dimensions
-
-
-def ivf_fit(rows: DataFrame, lists: int, *, seed: int = 7, iterations: int = 10) -> np.ndarray:
-    """Centroids of ``lists`` clusters, trained on all rows. More than MAX_LISTS are refused."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    if lists > MAX_LISTS:
-        raise ValueError(f"{lists} lists; at most {MAX_LISTS} are supported")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = F.transform("embedding", lambda x: x.cast("double") / norm)
-    data = rows.select(array_to_vector(unit).alias("features")).persist(StorageLevel.DISK_ONLY)  # read once per iteration
-    try:
-        model = KMeans(k=lists, seed=seed, maxIter=iterations).fit(data)
-    finally:
-        data.unpersist()
-    return _unit(model.clusterCenters())
-
-
-def _ranked_lists(vectors: Column, centroids, probes: int) -> Column:
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def choose(v: pd.Series) -> pd.Series:
-        out = []
-        step = max(1, BLOCK_CELLS // len(centroids.value))
-        for at in range(0, len(v), step):
-            distance = np.round(1.0 - _unit(v.iloc[at : at + step]) @ centroids.value.T, 12)
-            out += list(np.argsort(distance, axis=1, kind="stable")[:, :probes].astype(np.int32))
-        return pd.Series(out)
-
-    return choose(vectors)
-
-
-def ivf_assign(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """Add ``list``: the nearest centroid. Store the result partitioned by it."""
-    shared = rows.sparkSession.sparkContext.broadcast(centroids)
-    return rows.withColumn("list", F.get(_ranked_lists(F.col("embedding"), shared, 1), 0))
-
-
-def ivf_search(
-    assigned: DataFrame, questions: DataFrame, centroids: np.ndarray, *, probes: int, n: int, dims: int
-) -> DataFrame:
-    """Nearest n among the ``probes`` closest lists of each question, ranked by exact distance.
-
-    A list however large stays spread over the tasks that hold its rows.
-    """
-    shared = assigned.sparkSession.sparkContext.broadcast(centroids)
-    probing = questions.withColumn(
-        "list", F.explode(_ranked_lists(F.col("vector"), shared, min(probes, len(centroids))))
-    ).withColumn("pool", F.lit(n))
-    return nearest_blocks(assigned, probing, group=["list"], dims=dims)
-
-
 def ann_recall(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """Per question the share of the exact top k that the approximate top k found."""
     e = exact.where(F.col("rank") <= k).select("question_id", "id")

@@ -10,7 +10,8 @@ from chronoweave.operators import analytics as an, evaluation as ev, retrieval a
 from chronoweave.operators.ordered import keep_top
 from chronoweave.plans import fixtures as fx
 from chronoweave.plans.common import conflicts, flat, led, revs, sql, src, stored
-from chronoweave.plans.retrieval_queries import DIMS, _SEARCH, _runs, docs, embeddings, questions
+from chronoweave.operators.embedding import HASH_MODEL
+from chronoweave.plans.retrieval_queries import DIMS, _SEARCH, _runs, docs, embedded, questions
 from chronoweave.session import checkpoint_root
 from chronoweave.sources import eval_io
 
@@ -23,7 +24,7 @@ def _ranked(s, d):
     def make():
         q = ev.with_configurations(questions(s, d))
         found = rt.search(
-            led(s, d), src(s, d), q, revocations=revs(s, d), embeddings=embeddings(s, d), docs=docs(s, d), model=fx.MODEL, dims=DIMS
+            led(s, d), src(s, d), q, revocations=revs(s, d), embeddings=embedded(s, d), docs=docs(s, d), model=HASH_MODEL, dims=DIMS
         )
         keys = found.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("position", "id"))).alias("k")).select(
             "question_id", F.transform("k", lambda x: x["id"].cast("string")).alias("ranked_keys")

@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     # A skewed join is split even when the split costs one more shuffle later.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows may be whole blocks of a ledger: a batch is bounded by bytes too.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as sc
 from chronoweave.functions.stemming import stem
-from chronoweave.operators import embedding as em, retrieval as rt, vectors as vx
+from chronoweave.operators import embedding as em, inverted_lists as il, retrieval as rt, vectors as vx
 
 T = datetime(2024, 1, 10)
 VERSION = (
@@ -176,20 +176,75 @@ def test_search_end_to_end(spark, world):
             assert f.valid_until_recorded_at <= ask.known_at
 
 
-def test_inverted_lists(spark):
-    rng = np.random.RandomState(3)
-    centres = rng.normal(size=(12, 16)) * 3
-    vectors = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=16)]) for i in range(600)]
-    rows = spark.createDataFrame(vectors, "id int, embedding array<float>")
-    asks = spark.createDataFrame([(i, v) for i, v in vectors[:60]], "question_id int, vector array<float>")
-    centroids = vx.ivf_fit(rows, 12)
-    assigned = vx.ivf_assign(rows, centroids)
-    one = F.lit(0)
-    exact = vx.nearest(rows.withColumn("g", one), asks.withColumn("g", one), 10, 16, ["g"])
-    every = vx.ivf_search(assigned, asks, centroids, probes=12, n=10, dims=16)
-    assert {tuple(r) for r in every.select("question_id", "id", "rank").collect()} == {tuple(r) for r in exact.select("question_id", "id", "rank").collect()}
-    few = vx.ann_recall(vx.ivf_search(assigned, asks, centroids, probes=3, n=10, dims=16), exact, 10)
-    assert few.agg(F.avg("recall")).first()[0] > 0.8
+def clustered(spark, n=1500, centres=12, dims=16, noise=0.3, seed=3):
+    draw = np.random.default_rng(seed)
+    at = draw.normal(size=(centres, dims))
+    points = (at[draw.integers(0, centres, n)] + noise * draw.normal(size=(n, dims))).astype(np.float32)
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "id int, embedding array<float>")
+
+
+def compared(spark, index, asks, n=10):
+    one = F.lit(0).alias("g")
+    exact = vx.nearest(index.rows(spark).select("id", "embedding", one), asks.select("*", one), n, index.dims, ["g"])
+    return vx.ann_recall(il.search(index, asks, n), exact, n).agg(F.avg("recall")).first()[0]
+
+
+def files(df):
+    return df.select(F.col("_metadata.file_path")).distinct().count()
+
+
+def test_lists_hold_every_row_and_few_are_read(spark, tmp_path):
+    rows = clustered(spark)
+    index = il.build(rows, f"{tmp_path}/lists", 24, 16)
+    stored = index.rows(spark)
+    assert sorted(r.id for r in stored.collect()) == list(range(1500))
+    asks = rows.where("id < 60").selectExpr("id as question_id", "embedding as vector")
+    assert compared(spark, index, asks) >= 0.95
+    probes = il.probed(index, asks)
+    lists = index.centroids(spark).count()
+    assert probes.count() < 0.4 * 60 * lists
+    read = [files(il.read_lists(index, spark, probes.where(f"question_id < {n}"))) for n in (1, 8, 60)]
+    assert read[0] < read[1] <= read[2] and read[0] < 0.4 * files(stored)
+    plan = il.read_lists(index, spark, probes.where("question_id = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "list" in plan
+    # nothing is left out once every list is within the gap, whether the questions travel or stay
+    index.gap = 3.0
+    assert compared(spark, index, asks) == 1.0
+    blocks = il.search(index, asks, 10, question_bytes=1).select("question_id", "id", "rank").collect()
+    assert sorted(blocks) == sorted(il.search(index, asks, 10).select("question_id", "id", "rank").collect())
+
+
+def test_an_index_grows_and_loads_again(spark, tmp_path):
+    rows = clustered(spark)
+    index = il.build(rows.where("id < 1000"), f"{tmp_path}/lists", 16, 16)
+    il.append(index, rows.where("id >= 1000"))
+    again = il.load(spark, f"{tmp_path}/lists")
+    assert (again.gap, again.coarse, again.outer) == (index.gap, index.coarse, index.outer)
+    assert again.rows(spark).count() == 1500
+    asks = rows.where("id >= 1450").selectExpr("id as question_id", "embedding as vector")
+    assert compared(spark, again, asks) >= 0.95
+
+
+def test_where_nothing_separates_more_lists_are_probed(spark, tmp_path):
+    rows = clustered(spark, 900, centres=900, noise=1.0)
+    index = il.build(rows, f"{tmp_path}/lists", 30, 16)
+    asks = rows.where("id < 50").selectExpr("id as question_id", "embedding as vector")
+    assert compared(spark, index, asks) >= 0.9
+    near = il.build(clustered(spark, 900, noise=0.1), f"{tmp_path}/near", 30, 16)
+    some = clustered(spark, 900, noise=0.1).where("id < 50").selectExpr("id as question_id", "embedding as vector")
+    assert il.probed(near, some).count() < il.probed(index, asks).count()
+
+
+def test_lists_of_little(spark, tmp_path):
+    none = spark.createDataFrame([], "id int, embedding array<float>")
+    asks = spark.createDataFrame([(0, [1.0, 0.0])], "question_id int, vector array<float>")
+    assert il.search(il.build(none, f"{tmp_path}/none", 4, 2), asks, 5).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)] + [(40, [0.0, 0.0])], "id int, embedding array<float>")
+    index = il.build(same, f"{tmp_path}/same", 4, 2)
+    assert [r.id for r in il.search(index, asks, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    assert il.search(index, asks.limit(0), 5).count() == 0
+    with pytest.raises(ValueError):
+        il.build(same, f"{tmp_path}/many", il.MAX_LISTS + 1, 2)
 
 
 def test_hash_embedding(spark):
@@ -246,18 +301,3 @@ def test_many_equal_vectors_tie_by_id_in_any_plan(spark, room):
     assert all(len(v) == 250 and v == sorted(v) for v in by.values()) and len(by) == 6
     near = [i for _, i in by[0]]
     assert near[:100] == [i for i in range(900) if i % 3 == 0 and i % 9 == near[0] % 9][:100]
-
-
-def test_few_probes_find_the_neighbours_in_clustered_vectors(spark):
-    draw = np.random.default_rng(11)
-    centres = draw.normal(size=(48, 32))
-    points = (centres[draw.integers(0, 48, 3000)] + 0.25 * draw.normal(size=(3000, 32))).astype(np.float32)
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "id long, embedding array<float>")
-    asks = rows.where("id < 200").selectExpr("id as question_id", "embedding as vector")
-    centroids = vx.ivf_fit(rows, 54)
-    found = vx.ivf_search(vx.ivf_assign(rows, centroids), asks, centroids, probes=10, n=10, dims=32)
-    one = rows.withColumn("model", F.lit("m"))
-    exact = vx.nearest(one, asks.withColumn("model", F.lit("m")), 10, 32, ["model"])
-    assert vx.ann_recall(found, exact, 10).agg(F.avg("recall")).first()[0] >= 0.95
-    with pytest.raises(ValueError):
-        vx.ivf_fit(rows, vx.MAX_LISTS + 1)

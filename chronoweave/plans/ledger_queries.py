@@ -220,9 +220,8 @@ def _early_revs(s, d):
 
 _HELD = """
 with er as (select id as revocation_id, fact_version_id, organization_id, revoked_at + INTERVAL '2' DAY as revoked_at from revs),
-held as (select er.*, d.id as decision_id, d.decided_at, rl.decision_id is not null as relied_on
-  from er join snap s on s.fact_version_id = er.fact_version_id join dec d on d.snapshot_id = s.snapshot_id
-  left join relied rl on rl.decision_id = d.id and rl.fact_version_id = er.fact_version_id)"""
+held as (select er.*, d.id as decision_id, d.decided_at, s.relied_on
+  from er join snap s on s.fact_version_id = er.fact_version_id join dec d on d.snapshot_id = s.snapshot_id)"""
 
 
 def _report_rows(s, d):

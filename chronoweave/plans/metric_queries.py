@@ -189,6 +189,44 @@ def _results(s, d):
     )
 
 
+def _read_results(s, d):
+    """Evaluation runs written as result files of both kinds and read back; the other kind is left out."""
+    folder = f"{checkpoint_root(s)}/chronoweave/{s.sparkContext.applicationId}/results-{uuid.uuid4().hex[:12]}"
+    r = _results(s, d).withColumn("kind", F.when(F.col("dataset.cases") % 2 == 0, F.col("kind")).otherwise("answer-evaluation"))
+    r.write.option("maxRecordsPerFile", 1).json(f"{folder}/retrieval-runs.json")
+    return eval_io.read_results(s, folder)
+
+
+def _read_set(s, d):
+    """Four datasets with a case for each benchmark item, some with faults of every kind, written as files and read back."""
+    folder = f"{checkpoint_root(s)}/chronoweave/{s.sparkContext.applicationId}/sets-{uuid.uuid4().hex[:12]}"
+    i = F.col("item_id")
+    fact = lambda key, hours, value: F.struct(
+        key.alias("key"), F.lit("credit_limit").alias("property"), value.cast("string").alias("value"), hours.alias("hours"), (i % 100).cast("int").alias("authority"),
+        F.when(i % 2 == 0, "0.750").alias("confidence"), F.when(i % 3 == 0, "RESTRICTED").alias("privacy_scope"),
+    )
+    case = F.struct(
+        F.concat(F.lit("c"), i.cast("string")).alias("id"), F.concat(F.lit("kind-"), (i % 3).cast("string")).alias("category"),
+        F.when(i % 2 == 0, F.substring("text", 1, 40)).alias("question"), F.when(i % 2 == 1, F.upper(F.substring("text", 1, 20))).alias("query"),
+        (i * 1.5).alias("valid_at_hours"), F.when(i % 4 == 0, "VIEWER").alias("caller_role"), F.array(F.lit("a")).alias("relevant"),
+        F.create_map(F.when(i % 7 == 0, "a").otherwise("b"), F.lit("privacy")).alias("forbidden"),
+        F.array(fact(F.lit("a"), i * 0.25, F.length("text")), fact(F.when(i % 13 == 0, "a").otherwise("b"), F.lit(None).cast("double"), i)).alias("facts"),
+        F.struct(F.lit("answered").alias("status"), F.when(i % 5 == 0, F.array(F.lit("z"))).alias("cited_keys")).alias("expect"),
+    )
+    items = fx.table(s, d, "benchmark").select("item_id", "text")
+    items = items.unionByName(items.where(i % 11 == 0))
+    sets = items.groupBy((i % 4).alias("k")).agg(F.collect_list(case).alias("cases")).select(
+        F.concat(F.lit("set-"), F.col("k").cast("string")).alias("name"), F.lit("1.0").alias("version"), F.lit(True).alias("synthetic"), "cases")
+    sets.write.option("maxRecordsPerFile", 1).json(folder)
+    return eval_io.read_eval_cases(s, folder)
+
+
+_SET = """
+it as (select * from benchmark union all select * from benchmark where item_id % 11 = 0),
+fk as (select 'c' || item_id as case_id, 'a' as key, item_id as i, length(text) as value, item_id * 0.25 as hours from it
+ union all select 'c' || item_id, case when item_id % 13 = 0 then 'a' else 'b' end, item_id, item_id, 0 from it)"""
+
+
 def _exported(s, d, name):
     """Both analytics tables written as JSON lines by run date and read back through their schema."""
     folder = f"{checkpoint_root(s)}/chronoweave/{s.sparkContext.applicationId}/analytics-{uuid.uuid4().hex[:12]}"
@@ -305,6 +343,35 @@ select k.prompt, round(round(avg(correct::int), 4), 3) as accuracy, round(round(
         _ar("""select r.run_date, r.configuration, count(distinct r.run_id) as runs, count(c.case_id) as cases, cast(sum(c.violation_count) as bigint) as violations
  from runs r left join cases c on c.run_id = r.run_id and c.configuration = r.configuration group by 1, 2"""),
     ),
+    "io3_eval_cases": (
+        lambda s, d: flat(_read_set(s, d)[0].select(
+            "dataset_name", "case_id", "category", "query", "valid_at", "caller_role", F.array_join("relevant", ",").alias("relevant"),
+            F.array_join(F.map_keys("forbidden"), ",").alias("forbidden"), "expected_status", F.array_join("cited_keys", ",").alias("cited_keys"))),
+        f"""with {_SET.strip()}
+select 'set-' || item_id % 4 as dataset_name, 'c' || item_id as case_id, 'kind-' || item_id % 3 as category, case when item_id % 2 = 0 then substr(text, 1, 40) else upper(substr(text, 1, 20)) end as query,
+ strftime(TIMESTAMP '2026-01-15 09:00:00' + INTERVAL '1' MINUTE * (item_id * 90), '%Y-%m-%d %H:%M:%S.%f') as valid_at, case when item_id % 4 = 0 then 'VIEWER' else 'ADMIN' end as caller_role,
+ 'a' as relevant, case when item_id % 7 = 0 then 'a' else 'b' end as forbidden, 'answered' as expected_status, case when item_id % 5 = 0 then 'z' else '' end as cited_keys from it""",
+    ),
+    "io3_eval_facts": (
+        lambda s, d: flat(_read_set(s, d)[1].select("case_id", "key", "property", "value", "valid_from", "entity_type", "external_id", "source", "authority", "confidence", "privacy_scope", "tenant", "revoked")),
+        f"""with {_SET.strip()}
+select case_id, key, 'credit_limit' as property, cast(value as varchar) as value, strftime(TIMESTAMP '2026-01-15 09:00:00' + INTERVAL '1' SECOND * cast(hours * 3600 as bigint), '%Y-%m-%d %H:%M:%S.%f') as valid_from,
+ 'customer' as entity_type, 'customer-991' as external_id, 'billing-db' as source, cast(i % 100 as int) as authority, case when i % 2 = 0 then 0.75 else 1.0 end::double as confidence,
+ case when i % 3 = 0 then 'RESTRICTED' else 'INTERNAL' end as privacy_scope, 'self' as tenant, false as revoked from fk""",
+    ),
+    "io3_eval_problems": (
+        lambda s, d: _read_set(s, d)[2].distinct(),
+        f"""with {_SET.strip()}
+select distinct 'duplicate_case_id' as problem, 'c' || item_id as case_id, null as key from benchmark where item_id % 11 = 0
+union select 'duplicate_fact_key', case_id, key from fk group by 2, 3 having count(*) > 1
+union select 'unknown_key', 'c' || item_id, 'z' from it where item_id % 5 = 0
+union select 'unknown_key', 'c' || item_id, 'b' from it where item_id % 7 <> 0 and item_id % 13 = 0
+union select 'relevant_and_forbidden', 'c' || item_id, 'a' from it where item_id % 7 = 0""",
+    ),
+    "io4_eval_results": (
+        lambda s, d: flat(an.case_rows(_read_results(s, d)).select("run_id", "configuration", "case_id", "category", "relevant_count", "returned_count", "first_relevant_rank", "latency_ms", "violation_count")),
+        _ar("select run_id, configuration, case_id, category, relevant_count, returned_count, first_relevant_rank, latency_ms, violation_count from cases where run_id in (select run_id from runs where cases % 2 = 0)"),
+    ),
     "an1_run_rows": (
         lambda s, d: flat(_exported(s, d, "retrieval_runs").select("run_date", "run_id", "run_timestamp", "commit_sha", "working_tree_dirty", "synthetic", "configuration", "cases", "mrr", "recall_at_5", "ndcg_at_5")),
         _ar("select run_date, run_id, run_timestamp, commit_sha, working_tree_dirty, synthetic, configuration, cases, mrr, recall_at_5, ndcg_at_5 from runs"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions.frames import computed_once
 from chronoweave.functions.privacy import PRIVACY_ORDER
 from chronoweave.session import cut_lineage
+from chronoweave.streaming.keyed_log import BUCKETS, EVERY, KeyedLog
 
 # Event types with the payload columns each may carry. A trailing '?' allows null.
 # Payloads hold ids and metadata, never values, excerpts or outcomes.
@@ -277,6 +278,12 @@ class ActivityStore:
     """Append-only folders of the read model; one sub-folder per micro-batch."""
 
     root: str
+    buckets: int = BUCKETS
+    every: int = EVERY
+
+    def processed(self) -> KeyedLog:
+        """Ids of all events applied, by bucket; a batch reads the buckets its ids fall into."""
+        return KeyedLog(f"{self.root}/processed", ["id"], buckets=self.buckets, every=self.every)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -305,12 +312,13 @@ def apply_activity_batch(batch: DataFrame, batch_id: int, store: ActivityStore,
     spark = batch.sparkSession
     decoded = cut_lineage(decode(batch, source=source))  # four outputs read this batch
     good = subscribe(decoded.where(F.col("problem").isNull()), COUNTER_OF)
-    earlier = store.read(spark, "processed", "id string").where(F.col("batch_id") != batch_id)
+    processed = store.processed()
+    earlier = processed.touched(spark, good.select("id"), batch_id)
     fresh = cut_lineage(dedup_exact(good.select("id", "type", "organization_id", "time"), earlier))
     store.write(dead_letters(decoded.where(F.col("problem").isNotNull())), "dead_letters", batch_id)
     store.write(activity_daily(fresh), "activity", batch_id)
     store.write(outcomes(decoded, fresh), "outcomes", batch_id)
-    store.write(fresh.select("id"), "processed", batch_id)
+    processed.append(fresh.select("id"), batch_id)
 
 
 def run_activity(messages: DataFrame, store: ActivityStore, checkpoint: str, *, source: str = SOURCE, **trigger):

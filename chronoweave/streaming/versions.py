@@ -14,15 +14,16 @@ from chronoweave.operators.contradictions import value_conflicts
 from chronoweave.operators.ordered import HOT_ROWS
 from chronoweave.operators.temporal import latest_versions
 from chronoweave.session import cut_lineage
+from chronoweave.streaming.keyed_log import BUCKETS, EVERY, KeyedLog
 
-TABLES = ("versions", "closures", "rejects", "contradictions", "heads")
+TABLES = ("versions", "closures", "rejects", "contradictions")
 
 
 class VersionStore:
-    """Append-only folders, one sub-folder per micro-batch."""
+    """Append-only folders, one sub-folder per micro-batch; the heads as keyed state, read by the buckets a batch touches."""
 
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, *, buckets: int = BUCKETS, every: int = EVERY):
+        self.root, self.buckets, self.every = root, buckets, every
 
     def exists(self, spark: SparkSession, name: str) -> bool:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -34,25 +35,16 @@ class VersionStore:
     def write(self, df: DataFrame, name: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={batch_id}")
 
-    def heads(self, spark: SparkSession, claims: DataFrame, batch_id: int) -> DataFrame | None:
-        """Latest version of each fact in the batch, from the log of heads earlier batches wrote.
-
-        The log has one row per batch and touched fact. The last version of a fact is never closed
-        by its own batch, so its row is current.
-        """
-        stored = self.read(spark, "heads")
-        if stored is None:
-            return None
-        touched = claims.select(*FACT).distinct()
-        mine = stored.where(F.col("batch_id") < batch_id).join(touched, FACT, "left_semi")
-        rest = [c for c in mine.columns if c not in (*FACT, "version", "batch_id")]
-        return mine.groupBy(*FACT).agg(F.max(F.struct("version", *rest)).alias("r")).select(*FACT, "r.*")
+    def heads(self) -> KeyedLog:
+        """Latest version of each fact. The last version of a fact is never closed by its own batch, so its row is current."""
+        return KeyedLog(f"{self.root}/heads", FACT, latest="version", buckets=self.buckets, every=self.every)
 
 
 def apply_claims_batch(batch: DataFrame, batch_id: int, store: VersionStore, *, hot_rows: int = HOT_ROWS) -> None:
     spark = batch.sparkSession
     claims = cut_lineage(batch)
-    heads = store.heads(spark, claims, batch_id)
+    log = store.heads()
+    heads = log.find(spark, claims, batch_id)
     if heads is not None:
         heads = cut_lineage(heads)
     built = build_versions(claims, heads, hot_rows=hot_rows)
@@ -65,7 +57,7 @@ def apply_claims_batch(batch: DataFrame, batch_id: int, store: VersionStore, *,
         chain = versions.unionByName(before.select(*versions.columns))
     conflicts = value_conflicts(chain)
     store.write(conflicts, "contradictions", batch_id)
-    store.write(latest_versions(versions), "heads", batch_id)
+    log.append(latest_versions(versions), batch_id)
     store.write(versions, "versions", batch_id)
 
 

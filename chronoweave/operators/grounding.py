@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as sc
 
-MAX_VALUE_CHARS = 500  # fixed value: longer values are cut in the rendered context
+# Rendered contexts are stored and compared, so these texts, the length at which a value is cut, and the layout of
+# a fact's line in fact_line() are what stored contexts have.
+MAX_VALUE_CHARS = 500
+TRUNCATED = "...(truncated)"
 NO_FACTS = "(no facts)"
 NO_FACTS_ANSWER = "No facts you are allowed to see match this question at that time."
 ANSWER_SCHEMA = "answer string, insufficient_evidence boolean, cited_facts array<string>, inferences array<string>"
@@ -24,7 +27,7 @@ def pack_facts(results: DataFrame) -> DataFrame:
 def fact_line() -> Column:
     spaced = sc.display_json(sc.canonical_json(F.col("value")))
     value = F.when(
-        F.length(spaced) > MAX_VALUE_CHARS, F.concat(F.substring(spaced, 1, MAX_VALUE_CHARS), F.lit("...(truncated)"))
+        F.length(spaced) > MAX_VALUE_CHARS, F.concat(F.substring(spaced, 1, MAX_VALUE_CHARS), F.lit(TRUNCATED))
     ).otherwise(spaced)
     return F.concat(
         F.lit("["), "label", F.lit("] "), "entity_type", F.lit("/"), "external_id", F.lit(" "), "property", F.lit(" = "), value,

@@ -16,30 +16,81 @@ from chronoweave.functions.privacy import PRIVACY_ORDER
 from chronoweave.session import cut_lineage
 from chronoweave.streaming.keyed_log import BUCKETS, EVERY, KeyedLog
 
-# Event types with the payload columns each may carry. A trailing '?' allows null.
+# Event types with the payload columns each may carry, as (field, kind, nullable).
 # Payloads hold ids and metadata, never values, excerpts or outcomes.
 EVENT_FIELDS = {
     "fact.version_recorded": (
-        "id:uuid fact_id:uuid version:int source_id:uuid supersedes_id:uuid? valid_from:time valid_until:time? "
-        "authority:int privacy_scope:scope recorded_at:time"
+        ("id", "uuid", False),
+        ("fact_id", "uuid", False),
+        ("version", "int", False),
+        ("source_id", "uuid", False),
+        ("supersedes_id", "uuid", True),
+        ("valid_from", "time", False),
+        ("valid_until", "time", True),
+        ("authority", "int", False),
+        ("privacy_scope", "scope", False),
+        ("recorded_at", "time", False),
+    ),
+    "fact.embedding_stored": (
+        ("fact_version_id", "uuid", False),
+        ("model", "text", False),
+        ("created_at", "time", False),
     ),
-    "fact.embedding_stored": "fact_version_id:uuid model:text created_at:time",
     "contradiction.detected": (
-        "id:uuid entity_id:uuid left_version_id:uuid right_version_id:uuid kind:text detector:text "
-        "privacy_scope:text detected_at:time"
+        ("id", "uuid", False),
+        ("entity_id", "uuid", False),
+        ("left_version_id", "uuid", False),
+        ("right_version_id", "uuid", False),
+        ("kind", "text", False),
+        ("detector", "text", False),
+        ("privacy_scope", "text", False),
+        ("detected_at", "time", False),
+    ),
+    "fact.revoked": (
+        ("id", "uuid", False),
+        ("fact_version_id", "uuid", False),
+        ("revoked_by_user_id", "uuid", False),
+        ("revoked_at", "time", False),
     ),
-    "fact.revoked": "id:uuid fact_version_id:uuid revoked_by_user_id:uuid revoked_at:time",
     "evidence.captured": (
-        "id:uuid source_id:uuid evidence_type:text content_sha256:text privacy_scope:scope captured_at:time recorded_at:time"
+        ("id", "uuid", False),
+        ("source_id", "uuid", False),
+        ("evidence_type", "text", False),
+        ("content_sha256", "text", False),
+        ("privacy_scope", "scope", False),
+        ("captured_at", "time", False),
+        ("recorded_at", "time", False),
+    ),
+    "evidence.linked": (
+        ("fact_version_id", "uuid", False),
+        ("evidence_id", "uuid", False),
+        ("relation", "text", False),
+        ("linked_at", "time", False),
     ),
-    "evidence.linked": "fact_version_id:uuid evidence_id:uuid relation:text linked_at:time",
     "context.captured": (
-        "id:uuid captured_by_user_id:uuid valid_at:time known_at:time embedding_model:text created_at:time"
+        ("id", "uuid", False),
+        ("captured_by_user_id", "uuid", False),
+        ("valid_at", "time", False),
+        ("known_at", "time", False),
+        ("embedding_model", "text", False),
+        ("created_at", "time", False),
     ),
     "decision.recorded": (
-        "id:uuid snapshot_id:uuid decided_by_user_id:uuid agent:text? action:text decided_at:time receipt_sha256:text"
+        ("id", "uuid", False),
+        ("snapshot_id", "uuid", False),
+        ("decided_by_user_id", "uuid", False),
+        ("agent", "text", True),
+        ("action", "text", False),
+        ("decided_at", "time", False),
+        ("receipt_sha256", "text", False),
+    ),
+    "decision.impacted": (
+        ("revocation_id", "uuid", False),
+        ("decision_id", "uuid", False),
+        ("snapshot_id", "uuid", False),
+        ("fact_version_id", "uuid", False),
+        ("relied_on", "bool", False),
     ),
-    "decision.impacted": "revocation_id:uuid decision_id:uuid snapshot_id:uuid fact_version_id:uuid relied_on:bool",
 }
 SUBJECT = {
     "fact.version_recorded": "id", "fact.embedding_stored": "fact_version_id", "contradiction.detected": "id",
@@ -66,14 +117,6 @@ MAX_DAYS = 366
 MAX_ERROR_CHARS = 500
 
 
-def _fields(event_type: str) -> list[tuple[str, str, bool]]:
-    out = []
-    for item in EVENT_FIELDS[event_type].split():
-        name, kind = item.split(":")
-        out.append((name, kind.rstrip("?"), kind.endswith("?")))
-    return out
-
-
 def topics(prefix: str = PREFIX) -> list[str]:
     return [f"{prefix}.{t}.v1" for t in ("facts", "evidence", "decisions")]
 
@@ -106,7 +149,7 @@ def events_from(rows: DataFrame, event_type: str, *, time: str, event_id: Column
     """Rows of a changed table as events holding only the listed columns."""
     subject = F.col(SUBJECT[event_type]).cast("string")
     payload = F.to_json(
-        F.struct(*[_iso(n, k).alias(n) for n, k, _ in _fields(event_type)]), {"ignoreNullFields": "false"}
+        F.struct(*[_iso(n, k).alias(n) for n, k, _ in EVENT_FIELDS[event_type]]), {"ignoreNullFields": "false"}
     )
     return rows.select(
         (F.sha2(F.concat_ws("|", F.lit(event_type), payload), 256) if event_id is None else event_id).alias("id"),
@@ -157,7 +200,7 @@ def _payload_rules() -> Column:
     for event_type in EVENT_FIELDS:
         fields = [
             F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind"), F.lit(o).alias("nullable"))
-            for n, k, o in _fields(event_type)
+            for n, k, o in EVENT_FIELDS[event_type]
         ]
         pairs += [F.lit(event_type), F.array(*fields)]
     return F.create_map(*pairs)

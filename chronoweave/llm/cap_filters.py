@@ -5,7 +5,8 @@ probability, two others hardly ever, so only vectors that passed the same filter
 product code: a vector is rotated at random (signs and a Hadamard transform) and cut into blocks, each block has a small code
 of random unit vectors, and every combination of one code word a block is a direction. There are millions of directions from
 hundreds of words, and :meth:`Code.decode` lists all that a vector passes without trying the others: block by block it keeps
-the partial sums that can still reach the threshold, and takes the last block's words from a sorted list.
+the partial sums that can still reach the threshold, and takes the last block's words from a sorted list. A vector in no cap of
+a code passes the direction nearest to it.
 
 The code fits the largest group: the larger it is, the narrower the caps, so that a cap holds about ``CAP`` unrelated vectors at any
 size. Codes, each with a rotation of its own, are added until, of ``TRIED`` random pairs at exactly the least cosine, a share of ``RECALL``
@@ -93,7 +94,8 @@ class Code:
         return [turned[:, a:b] @ code.T for a, b, code in zip(self.cuts[:-1], self.cuts[1:], self.codes, strict=True)]
 
     def decode(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``row``, ``filter`` of all directions that the rows of ``units`` pass."""
+        """``row``, ``filter`` of all directions that the rows of ``units`` pass, in no order. The nearest direction always counts as
+        passed, so that no vector is without a filter."""
         scores = self.scores(units)
         highest = [s.max(axis=1) for s in scores]
         row, name, total = np.arange(len(units)), np.zeros(len(units), np.int64), np.zeros(len(units))
@@ -111,7 +113,12 @@ class Code:
         enough = np.clip(enough, 0, self.words)
         at = np.arange(enough.sum()) - np.repeat(np.cumsum(enough) - enough, enough)
         row, name = np.repeat(row, enough), np.repeat(name, enough)
-        return row, name * self.words + order[row, at]
+        name = name * self.words + order[row, at]
+        none = np.flatnonzero(sum(highest) < self.least)
+        nearest = np.zeros(len(units), np.int64)
+        for s in scores:
+            nearest = nearest * self.words + s.argmax(axis=1)
+        return np.concatenate([row, none]), np.concatenate([name, nearest[none]])
 
 
 class Codes:

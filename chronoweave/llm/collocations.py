@@ -96,8 +96,10 @@ class Gathered:
         x = np.concatenate([*self.parts, np.zeros(1, np.int32)]).astype(np.int64)
         vocabulary = list(self.number)
         total, length = len(vocabulary), len(x)
+        if length < k:
+            return
         hashes = np.fromiter(map(_word_hash, vocabulary), np.uint64, total)
-        start = np.full(length - k + 1 if length >= k else 0, _word_hash(lang), np.uint64)
+        start = np.full(length - k + 1, _word_hash(lang), np.uint64)
         if k == 1:
             at, prefix_of = np.flatnonzero(x), None
             prefix = start

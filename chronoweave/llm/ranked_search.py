@@ -224,11 +224,12 @@ class Bounds:
 
     def __init__(self, most: list[int], pairs: dict[tuple[int, int], int]):
         """``most``: maxima of the terms; ``pairs``: joint maxima of those pairs that are known (0 where they never meet)."""
-        saving = sorted(((most[a] + most[b] - max(most[a], most[b], j), -a, -b) for (a, b), j in pairs.items()), reverse=True)
+        # among equal savings the pair that comes later, as it stays whole longer
+        saving = sorted(((most[a] + most[b] - max(most[a], most[b], j), a, b) for (a, b), j in pairs.items()), reverse=True)
         partner: dict[int, int] = {}
         for less, a, b in saving:
-            if less > 0 and -a not in partner and -b not in partner:
-                partner[-a], partner[-b] = -b, -a
+            if less > 0 and a not in partner and b not in partner:
+                partner[a], partner[b] = b, a
         self.rest = [0] * (len(most) + 1)
         for j in range(len(most) - 1, -1, -1):
             p = partner.get(j, -1)

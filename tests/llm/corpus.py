@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-ODD = ("h", "fp", "at", "key", "id", "word", "words", "n", "start", "root", "first", "kept", "t", "left", "ats", "starts", "score", "a", "b", "ids")
+ODD = ("h", "fp", "at", "key", "id", "word", "words", "n", "start", "root", "first", "kept", "t", "left", "ats", "starts", "score", "a", "b", "ids", "_at", "_n", "_cut", "row", "cut", "places", "kind")
 PASSAGE = " ".join(f"Word{i} of{i} a{i} passage{i} runs." if i % 2 else f"then{i} comes{i} more{i}" for i in range(14))
 LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(40_000))
 ROWS = [

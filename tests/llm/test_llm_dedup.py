@@ -324,6 +324,19 @@ def test_scripts_without_blanks_and_rows_of_short_lines():
     assert all(len((items * 30)[s:e].split()) >= 8 for s, e in paragraphs.spans(items * 30))
 
 
+def test_crowded_keys_are_those_of_several_texts(spark):
+    """One bucket of very many texts over several batches, pairs within a batch and across batches, and texts alone."""
+    many = [f"the same eight words of a template stand in text number {i}" for i in range(2500)]
+    alone = [" ".join(f"x{i}y{k}" for k in range(9)) for i in range(500)]
+    texts = [t.encode() for t in (*many, *alone, *(t + " more" for t in alone[::7]))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, words binary").repartition(3)
+    common.ready(spark)
+    keys = paragraphs.band_keys([t.split() for t in texts], 5, 2).view("int64").tolist()
+    often = collections.Counter(k for own in keys for k in own)
+    want = sorted((k, i) for i, own in enumerate(keys) for k in own if often[k] > 1)
+    assert sorted((r.key, r.id) for r in paragraphs._crowded(frame, 5, 2).collect()) == want and len(want) > 2500
+
+
 def test_paragraphs_of_nothing(spark):
     assert paragraphs.report(corpus.none(spark)).count() == 0
 

@@ -301,3 +301,67 @@ def test_many_equal_vectors_tie_by_id_in_any_plan(spark, room):
     assert all(len(v) == 250 and v == sorted(v) for v in by.values()) and len(by) == 6
     near = [i for _, i in by[0]]
     assert near[:100] == [i for i in range(900) if i % 3 == 0 and i % 9 == near[0] % 9][:100]
+
+
+def test_blocks_out_of_bounds_are_not_asked(spark, world):
+    """What a block's bounds rule out is not multiplied; what they let in is judged row by row, as by the joins."""
+    v, _, gone, q = world
+    asks, _ = rt.normalize_questions(q)
+    us = lambda c: F.unix_micros(c)
+    rows = rt.searchable(v, gone).where("organization_id = 'a'").select(
+        "id", us("valid_from").alias("from_us"), us("valid_until").alias("until_us"), us("recorded_at").alias("recorded_us"),
+        us("valid_until_recorded_at").alias("until_rec_us"), us("revoked_at").alias("revoked_us"), "scope", "authority",
+        F.col("confidence").cast("double").alias("confidence"), "entity_type", "external_id", "property", "source_id",
+    ).toPandas()
+    asked = asks.withColumns({"valid_at_us": us("valid_at"), "known_at_us": us("known_at")}).toPandas()
+    may, pairs = rt._eligible_pairs(rows, asked)
+    revoked = {r.fact_version_id: r.revoked_at for r in gone.collect()}
+    by_id = {r.id: r for r in v.collect()}
+    by_question = {r.question_id: r for r in q.collect()}
+    for j, name in enumerate(asked["question_id"]):
+        ask = by_question[name].asDict() | {"organization_id": "a"}
+        want = [allowed(by_id[i], revoked, type("Ask", (), ask)) for i in rows["id"]]
+        assert pairs(j, np.arange(len(rows))).tolist() == want and (may[j] or not any(want))
+    closed = rows[rows["until_us"].notna() & (rows["until_us"] <= asked["valid_at_us"].min())]
+    assert len(closed) and not rt._eligible_pairs(closed, asked[asked["known_at_us"].isna()])[0].any()
+
+
+def test_a_task_sends_one_pool_for_all_its_blocks():
+    """However many blocks a task reads, it tells each question's nearest rows once."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(4000, DIMS))
+    asked = pd.DataFrame({"question_id": [f"q{i}" for i in range(30)], "g": 0, "pool": 7, "vector": list(rng.normal(size=(30, DIMS)))})
+    by_group, pools = vx._grouped(asked, ["g"]), {}
+    for low in range(0, 4000, 100):
+        vx._look(pd.DataFrame({"g": 0, "id": np.arange(low, low + 100), "embedding": list(vectors[low : low + 100])}), by_group, ["g"], None, pools)
+    (held,) = pools.values()
+    held.found = [held.best()]
+    told = vx._told(by_group, pools, np.zeros(0, np.int64))
+    exact = np.round(1 - vx.unit(asked["vector"]) @ vx.unit(vectors).T, vx.PLACES)
+    for i in range(30):
+        got = told[told["question_id"] == f"q{i}"]
+        assert got["id"].tolist() == np.argsort(exact[i], kind="stable")[:7].tolist()
+        assert got["distance"].to_numpy() == pytest.approx(np.sort(exact[i])[:7])
+
+
+def test_cells_nobody_can_see_are_not_sent(spark):
+    """Questions meet the cells whose bounds let them in, and find there what they find among all rows."""
+    rows = spark.range(400).select("id", F.lit("g").alias("g"), F.array(F.cos("id"), F.sin("id")).cast("array<float>").alias("embedding"), F.floor(F.col("id") / 100).alias("part"))
+    asked = spark.range(8).select(F.col("id").alias("question_id"), F.lit("g").alias("g"), F.array(F.cos(F.col("id") * 3), F.sin(F.col("id") * 3)).cast("array<float>").alias("vector"), F.lit(5).alias("pool"), (F.col("id") % 3).alias("wanted"))
+
+    def mask(block, questions):
+        assert block["part"].nunique() == 1 and (questions["wanted"] >= block["part"].iloc[0]).all()
+        return np.ones(len(questions), bool), lambda j, places: np.ones(len(places), bool)
+
+    got = vx.nearest_blocks(
+        rows, asked, group=["g"], dims=2, mask=mask, cell=F.col("part").cast("string"), bounds={"low": F.min("part")}, meets=F.col("low") <= F.col("wanted"),
+        question_bytes=1, block_rows=30,
+    ).collect()
+    want = {}
+    for j in range(8):
+        seen = range(100 * (j % 3 + 1))
+        want[j] = sorted(seen, key=lambda i: (round(1 - float(np.float32(np.cos(i)) * np.float32(np.cos(3 * j)) + np.float32(np.sin(i)) * np.float32(np.sin(3 * j))), 5), i))[:5]
+    assert {r.question_id: None for r in got} == dict.fromkeys(range(8)) and all(r.id < 100 * (r.question_id % 3 + 1) for r in got)
+    assert {j: len([r for r in got if r.question_id == j]) for j in range(8)} == {j: len(want[j]) for j in range(8)}

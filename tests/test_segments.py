@@ -134,3 +134,61 @@ def test_store_joins_without_a_shuffle_and_grows(spark, tmp_path):
     want = rt.vector_hits(rt.searchable(versions, gone), plain, q, model=em.HASH_MODEL, dims=16)
     order = ["question_id", "id", "vector_distance", "vector_rank"]
     assert sorted(hits.select(*order).collect()) == sorted(want.select(*order).collect())
+
+
+@pytest.mark.parametrize("room", [1 << 25, 1])
+def test_a_full_pool_of_earlier_segments_is_the_least_to_beat(spark, tmp_path, room):
+    """Many segments of one task: exact, and no segment tells again what an earlier one has beaten."""
+    versions, gone = ledger(spark, 600, seed=9)
+    versions = versions.withColumn("valid_until", F.lit(None).cast("timestamp"))
+    rows, docs = rt.searchable(versions, gone), em.build_search_docs(versions)
+    q = asks(spark, 80, seed=4).withColumn("pool", F.lit(5))
+    want = rt._joined_text_hits(rows, docs, q)
+    asked = rt.asked_of_segments(q)
+    segments = sg.build(rows, docs, f"{tmp_path}/s", size=20)
+    order = ["question_id", "organization_id", "id", "text_score", "text_rank"]
+    got = sg.text_hits(segments, asked, rt.MAX_POOL, question_bytes=room)
+    assert sorted(got.select(*order).collect()) == sorted(want.select(*order).collect()) and want.count()
+    again = rt.text_hits(rows, docs, q)
+    assert sorted(again.select(*order).collect()) == sorted(want.select(*order).collect())
+
+
+def test_beyond_the_room_no_segment_is_copied(spark, tmp_path):
+    """Questions go to the segments of a task; segments are not sent once for every block of questions."""
+    versions, gone = ledger(spark)
+    segments = sg.build(rt.searchable(versions, gone), em.build_search_docs(versions), f"{tmp_path}/s", size=16)
+    asked = rt.asked_of_segments(asks(spark))
+    plan = sg.eligible_counts(segments, asked, question_bytes=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "broadcast" in plan  # the questions and the bounds; the segments' rows meet nothing before the groups
+
+
+def test_a_least_score_and_id_must_be_beaten(spark, tmp_path):
+    versions, _ = ledger(spark, 300, seed=3)
+    versions = versions.withColumn("organization_id", F.lit("a")).withColumn("valid_until", F.lit(None).cast("timestamp"))
+    build = sg.build(rt.searchable(versions, None), em.build_search_docs(versions), f"{tmp_path}/s", size=4096)
+    segment = sg.Segment(build.repartition(1).toArrow().combine_chunks().to_batches()[0], 0)
+    q = {"pool": 300, "tokens": ["red", "stone"], "valid_us": sg.FAR - 1, "known_us": None, "ceiling": 3, "min_authority": None, "min_confidence": None,
+         "entity_type": None, "external_ids": None, "properties": None, "source_ids": None}
+    docs, scores, _ = segment.text_hits(q)
+    every = sorted(zip((-scores).tolist(), segment.numbers()[docs].tolist(), strict=True))
+    for cut in (0, 3, len(every) // 2, len(every) - 1):
+        least = -every[cut][0], every[cut][1]
+        docs, scores, _ = segment.text_hits(q, least)
+        assert sorted(zip((-scores).tolist(), segment.numbers()[docs].tolist(), strict=True)) == every[:cut]
+
+
+def test_rows_that_come_twice_add_up(spark):
+    """Where an id comes twice, the tokens of its rows add up, as before."""
+    versions, gone = ledger(spark, 100)
+    twice = versions.unionByName(versions.where("id < 30"))
+    rows, docs, q = rt.searchable(twice, gone), em.build_search_docs(twice), asks(spark, 20)
+    order = ["question_id", "organization_id", "id", "text_score", "text_rank"]
+    want = sorted(rt._joined_text_hits(rows, docs, q).select(*order).collect())
+    assert sorted(rt.text_hits(rows, docs, q).select(*order).collect()) == want and want
+
+
+def test_a_scope_nobody_knows_is_seen_by_none(spark, tmp_path):
+    versions, _ = ledger(spark, 40)
+    odd = versions.withColumn("privacy_scope", F.lit("SECRET"))
+    segments = sg.build(rt.searchable(odd, None), em.build_search_docs(odd), f"{tmp_path}/s")
+    assert segments.count() and sg.text_hits(segments, rt.asked_of_segments(asks(spark, 20)), rt.MAX_POOL).count() == 0

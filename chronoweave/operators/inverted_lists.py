@@ -231,7 +231,8 @@ def search(index: ListIndex, questions: DataFrame, n: int, *, question_bytes: in
     ``vector``), by exact distance.
 
     Up to ``question_bytes``, as measured, the questions go to all tasks once, with the numbers of those that probe a list;
-    beyond that blocks of questions meet blocks of each list's rows.
+    beyond that blocks of questions meet blocks of some lists' rows: a question is sent to a bin of lists once, with those of
+    them that it probes.
     """
     spark = questions.sparkSession
     questions = questions.select("question_id", "vector")
@@ -243,12 +244,22 @@ def search(index: ListIndex, questions: DataFrame, n: int, *, question_bytes: in
         size = asked * 8 * index.dims + frame_bytes(probes)
         if size <= question_bytes:
             return _scanned(rows, questions, probes, n)
-        probing = probes.join(questions, "question_id").withColumn("pool", F.lit(n))
-        return nearest_blocks(rows, probing, group=["list"], dims=index.dims, question_bytes=question_bytes)
+        bins = F.lit(int(max(1, rows.count() // BLOCK_ROWS)))
+        some = probes.groupBy("question_id", F.pmod("list", bins).alias("bin")).agg(F.collect_list("list").alias("lists"))
+        probing = some.join(questions, "question_id").withColumn("pool", F.lit(n))
+        return nearest_blocks(
+            rows.withColumn("bin", F.pmod("list", bins)), probing, group=["bin"], dims=index.dims, mask=_probing, question_bytes=question_bytes
+        )
     finally:
         probes.unpersist()
 
 
+def _probing(rows: pd.DataFrame, asked: pd.DataFrame):
+    """Which rows of a bin lie in lists that a question probes."""
+    held, probed_lists = rows["list"].to_numpy(), asked["lists"].to_numpy()
+    return np.ones(len(asked), bool), lambda q, places: np.isin(held[places], probed_lists[q])
+
+
 def _scanned(rows: DataFrame, questions: DataFrame, probes: DataFrame, n: int) -> DataFrame:
     spark = rows.sparkSession
     id_type = rows.schema["id"].dataType.simpleString()
@@ -271,4 +282,4 @@ def _scanned(rows: DataFrame, questions: DataFrame, probes: DataFrame, n: int) -
             yield pd.DataFrame({"question_id": names[who], "id": ids, "distance": distance})
 
     local = rows.mapInPandas(scan, f"question_id {q_type}, id {id_type}, distance double")
-    return keep_top(local, ["question_id"], [F.col("distance"), F.col("id")], n, "rank")
+    return keep_top(local, ["question_id"], [F.round("distance", PLACES), F.col("id")], n, "rank")

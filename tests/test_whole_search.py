@@ -28,3 +28,10 @@ def test_a_question_goes_to_a_bin_of_lists_once(spark, tmp_path, monkeypatch):
             monkeypatch.setattr(il, "BLOCK_ROWS", block)
             assert sorted(il.search(index, asks, 4, question_bytes=1).select(*order).collect()) == want
         monkeypatch.undo()
+
+
+def test_eligible_versions_are_counted_in_cells(spark, small):
+    """No join of all versions of a tenant with all its questions: the tenant alone is the key of a broadcast only."""
+    plan = queries()["rt2_eligible"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "q_valid_at" in line]
+    assert joins and all("cell" in line or "rightHint=(strategy=broadcast)" in line for line in joins)

@@ -78,7 +78,7 @@ def test_snapshots_shuffle_asks_and_versions_once(spark):
 
 
 def test_receipts_of_ids_that_repeat(spark):
-    v = chains(spark, twice=True)
+    v = chains(spark, twice=True).withColumn("value", F.when(F.col("id") == 2, F.repeat(F.lit("9"), 40)).otherwise(F.col("value")))
     held = spark.createDataFrame([(0, 1, 0, 1), (0, 1, 1, 2), (0, 1, 2, 3), (1, 2, 10, 1)], "organization_id long, snapshot_id long, fact_version_id long, position int")
     heads = spark.createDataFrame([(0, 1), (1, 2), (1, 3)], "organization_id long, id long").select(
         "*", F.lit("q").alias("query"), F.lit(START).alias("valid_at"), F.lit(START).alias("known_at"), F.lit("m").alias("embedding_model"),
@@ -93,6 +93,8 @@ def test_receipts_of_ids_that_repeat(spark):
     listed = {r["id"]: len(r["__facts"] or []) for r in dr._with_facts(d, heads.withColumnRenamed("id", "snapshot_id"), held, cited, v).collect()}
     joined = {r["id"]: len(r["__facts"]) for r in dr._joined_facts(d, held, cited, v).collect()}
     assert joined == {k: n for k, n in listed.items() if n} and listed[7] == listed[6] + 1 and listed[9] == 0
+    hashes = lambda df: {(r["id"], f["fact"]["fact_version_id"], f["fact"]["value_sha256"]) for r in df.collect() for f in r["__facts"] or []}
+    assert hashes(dr._with_facts(d, heads.withColumnRenamed("id", "snapshot_id"), held, cited, v)) == hashes(dr._joined_facts(d, held, cited, v))
     one = sealed(d)
     again = sealed(d.unionByName(d.where("id = 8")))  # the other path; the repeated id has other facts
     assert [r for r in one if r[1] != 8] == [r for r in again if r[1] != 8] and len(one) == 4 and len(again) == 5

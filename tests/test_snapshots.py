@@ -105,3 +105,12 @@ def test_receipts_of_ids_that_repeat(spark):
         checked = dr.verify_receipts(rows, heads, held, cited, v).collect()
         assert {(r["id"], r["integrity_verified"], r["recomputed"] is None) for r in checked} == {
             (5, False, True), (6, True, False), (7, True, False), (8, True, False), (9, False, False)}
+
+
+def test_tasks_follow_the_rows_scanned(spark, monkeypatch):
+    v, q = chains(spark), asks(spark).withColumn("entity_type", F.lit("user"))
+    whole = rows_of(facts_at(v, q, gone(v), same_instant=True))
+    monkeypatch.setattr("chronoweave.operators.temporal.SCAN_ROWS", 10, raising=False)
+    found = facts_at(v, q, gone(v), same_instant=True)
+    assert found.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows_of(found) == whole

@@ -192,3 +192,52 @@ def test_a_scope_nobody_knows_is_seen_by_none(spark, tmp_path):
     odd = versions.withColumn("privacy_scope", F.lit("SECRET"))
     segments = sg.build(rt.searchable(odd, None), em.build_search_docs(odd), f"{tmp_path}/s")
     assert segments.count() and sg.text_hits(segments, rt.asked_of_segments(asks(spark, 20)), rt.MAX_POOL).count() == 0
+
+
+def test_a_group_of_segments_tells_one_pool(spark, tmp_path, monkeypatch):
+    """What later segments of a task beat is not sent: a question's hits of a group are its pool at most."""
+    versions, gone = ledger(spark, 600, seed=9)
+    versions = versions.withColumn("valid_until", F.lit(None).cast("timestamp"))
+    rows, docs = rt.searchable(versions, gone), em.build_search_docs(versions)
+    asked = rt.asked_of_segments(asks(spark, 80, seed=4).withColumn("pool", F.lit(5)))
+    segments = sg.build(rows, docs, f"{tmp_path}/s", size=20)
+    sent, real = [], sg.keep_top
+    monkeypatch.setattr(sg, "keep_top", lambda df, *a: sent.append(df.groupBy("question_id").count().agg(F.max("count")).first()[0]) or real(df, *a))
+    assert sg.text_hits(segments, asked, rt.MAX_POOL, question_bytes=1).count() and sent == [5]
+
+
+def test_many_questions_of_a_group_are_dealt_out(spark, tmp_path, monkeypatch):
+    """More questions than one task should answer go to several, each with the segments of their group."""
+    versions, gone = ledger(spark)
+    segments = sg.build(rt.searchable(versions, gone), em.build_search_docs(versions), f"{tmp_path}/s", size=16)
+    asked = rt.asked_of_segments(asks(spark))
+    want = sorted(sg.text_hits(segments, asked, rt.MAX_POOL).collect())
+    monkeypatch.setitem(sg.meet.__kwdefaults__, "group_questions", 7)
+    assert sorted(sg.text_hits(segments, asked, rt.MAX_POOL, question_bytes=1).collect()) == want and want
+    counts = lambda room: sorted(sg.eligible_counts(segments, asked, question_bytes=room).groupBy("question_id").agg(F.sum("versions")).collect())
+    assert counts(1) == counts(1 << 25)
+
+
+def test_segments_of_a_large_ledger_hold_more(spark, tmp_path, monkeypatch):
+    versions, gone = ledger(spark, 600)
+    for name, value in (("SEGMENT_ROWS", 10), ("MOST_ROWS", 50), ("SEGMENTS_A_CORE", 1), ("FILE_ROWS", 10)):
+        monkeypatch.setattr(sg, name, value)
+    rows, docs = rt.searchable(versions, gone), em.build_search_docs(versions)
+    for cores, most in ((600 // 30, 30), (1, 50), (600, 10)):
+        monkeypatch.setattr(sg, "SEGMENTS_A_CORE", cores / spark.sparkContext.defaultParallelism)
+        assert sg.build(rows, docs, f"{tmp_path}/s{most}").agg(F.max("n")).first()[0] <= most
+
+
+def test_many_different_filters_are_not_worked_out_for_all(spark, tmp_path, monkeypatch):
+    """Filters of one question only are checked where its words lead, however many blocks those are."""
+    versions, gone = ledger(spark, 400)
+    segments = sg.build(rt.searchable(versions.withColumn("organization_id", F.lit("a")), gone), em.build_search_docs(versions.withColumn("organization_id", F.lit("a"))), f"{tmp_path}/s")
+    monkeypatch.setattr(sg, "POSTING_BLOCK", 16)
+    segment = sg.Segment(segments.drop("org_bucket").toArrow().to_batches()[0], 0)
+    whole, real = [], sg.Segment.eligible
+    monkeypatch.setattr(sg.Segment, "eligible", lambda self, q, docs: whole.append(isinstance(docs, slice)) or real(self, q, docs))
+    for at in range(5):
+        q = {"valid_us": 2**60 + at, "known_us": None, "ceiling": 3, "min_authority": None, "min_confidence": None, "pool": 400, "tokens": ["red", "user"],
+             "entity_type": None, "external_ids": None, "properties": None, "source_ids": None}
+        segment.text_hits(q)
+    assert len(whole) > 5 and not any(whole)

@@ -59,6 +59,21 @@ def test_rows_are_sent_once_to_all_questions_of_their_cell(spark):
         assert sorted(got.select("question_id", "id", "rank").collect()) == want and len(want) == 200
 
 
+def test_pairs_of_a_task_are_bounded(spark):
+    """Beyond the room for a broadcast, questions that make many pairs with a block of rows are dealt to several tasks."""
+    rows = spark.range(300).select("id", F.lit("g").alias("g"), F.array(F.cos("id"), F.sin("id")).cast("array<float>").alias("embedding"))
+    asked = spark.range(40).select(
+        F.col("id").alias("question_id"), F.lit("g").alias("g"), F.array(F.cos(F.col("id") * 3), F.sin(F.col("id") * 3)).cast("array<float>").alias("vector"), F.lit(5).alias("pool"))
+
+    def few_of_them(block, questions):
+        assert len(questions) < 30
+        return np.ones(len(questions), bool), lambda j, places: np.ones(len(places), bool)
+
+    want = sorted(vx.nearest_blocks(rows, asked, group=["g"], dims=2).select("question_id", "id", "rank").collect())
+    split = vx.nearest_blocks(rows, asked, group=["g"], dims=2, mask=few_of_them, question_bytes=1, block_rows=70, block_pairs=(500, 500))
+    assert sorted(split.select("question_id", "id", "rank").collect()) == want and len(want) == 200
+
+
 def test_most_of_a_block_is_not_checked():
     """The nearest rows are checked first, and few others; what is found is exact, ties and rare filters included."""
     draw = np.random.default_rng(3)

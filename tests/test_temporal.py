@@ -184,3 +184,37 @@ def test_lineage(limit, spark):
     rows = tq.lineage(limit, asked).collect()
     assert [(r.id, r.role, r.superseded_by) for r in rows] == [("limit-2", "descendant", True)]
     assert tq.latest_versions(limit).first().id == "limit-2"
+
+
+def test_changes_by_entity_and_by_fact_agree(spark):
+    """Scanned by entity, where no version is looked up again, and by fact: the same rows, asks that come twice and nulls included."""
+    rows = random_history(11) + [r | {"id": r["id"] + "/2", "external_id": "c2", "fact_id": r["fact_id"] + "/2"} for r in random_history(12)]
+    rows += [r | {"id": r["id"] + "/none", "fact_id": r["fact_id"] + "/none", "external_id": None} for r in random_history(13)]
+    df = frame(spark, rows)
+    rng = random.Random(5)
+    marks = [r["valid_from"] for r in rows] + [r["recorded_at"] for r in rows] + [None]
+    asks = [(i % 90 if i % 9 else None, "o", "customer", rng.choice(["c1", "c2", "c3", None]), *rng.choices(marks, k=3)) for i in range(200)]
+    schema = "ask_id int, organization_id string, entity_type string, external_id string, start_at timestamp, end_at timestamp, known_at timestamp"
+    a = spark.createDataFrame(asks + asks[:40], schema)
+    assert tq._ends_by_entity(df, a, tq.HOT_ROWS) is not None and tq._ends_by_entity(df, a, 4) is None
+    found, want = tq.changes_between(df, a), tq.changes_between(df, a, hot_rows=4)
+    assert found.schema.simpleString() == want.schema.simpleString()
+    order = lambda x: sorted(x.collect(), key=str)
+    assert order(found) == order(want) and found.count()
+    twice = df.unionByName(df.where("version % 2 = 0"))
+    assert tq._ends_by_entity(twice, a, tq.HOT_ROWS) is None
+    assert order(tq.changes_between(twice, a)) == order(tq.changes_between(twice, a, hot_rows=4))
+    shared = df.withColumn("fact_id", F.regexp_replace("fact_id", "/2", "")).where("external_id is not null")
+    assert tq._ends_by_entity(shared, a, tq.HOT_ROWS) is None
+
+
+def test_changes_look_no_version_up_again(spark):
+    """Asks meet their entity's facts, and changes the scan of their fact, once each."""
+    df = frame(spark, random_history(7))
+    at = F.lit("2024-01-01").cast("timestamp")
+    a = spark.range(3).select(
+        F.col("id").alias("ask_id"), F.lit("o").alias("organization_id"), F.lit("customer").alias("entity_type"), F.concat(F.lit("c"), F.col("id")).alias("external_id"),
+        at.alias("start_at"), (at + F.expr("INTERVAL '9' DAY")).alias("end_at"), F.lit(None).cast("timestamp").alias("known_at"))
+    changes = tq.changes_between(df, a)
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(changes).count("Join ") == 1 and plan(tq.hide_partial_changes(df, changes, "INTERNAL")).count("Join ") == 2
